@@ -234,26 +234,34 @@ def _baseline(layer: str) -> str:
     return " UNION ALL ".join(lines)
 
 
-def _char_grams(docs: str, shortest: int, longest: int) -> str:
+def _shifted(items: str, n: int, glue: str) -> str:
+    """All runs of n neighbours; the ones that reach past the end are null and left out."""
+    if n == 1:
+        return items
+    columns = ", ".join([items] + [f"{items}[{k + 1}:]" for k in range(1, n)])
+    joined = f" || '{glue}' || ".join(f"z[{k + 1}]" for k in range(n))
+    return f"list_transform(list_zip({columns}), lambda z: {joined})"
+
+
+def _grams(items: str, shortest: int, longest: int, glue: str) -> str:
     parts = " UNION ALL ".join(
-        f"SELECT seq, array_to_string(list_slice(chars, i, i + {n - 1}), '') AS term "
-        f"FROM symbols, range(1, len(chars) - {n - 2}) AS r(i)"
+        f"SELECT seq, unnest({_shifted(items, n, glue)}) AS term FROM split_docs"
         for n in range(shortest, longest + 1))
-    return f"""symbols AS (
+    return f"grams AS (SELECT * FROM ({parts}) WHERE term IS NOT NULL)"
+
+
+def _char_grams(docs: str, shortest: int, longest: int) -> str:
+    return f"""split_docs AS (
   SELECT seq, string_split(regexp_replace(lower(payload), '[\\s\\x0B\\x{{A0}}]{{2,}}', ' ', 'g'),
     '') AS chars FROM ({docs})),
-grams AS ({parts})"""
+{_grams('chars', shortest, longest, '')}"""
 
 
 def _word_grams(docs: str, shortest: int, longest: int) -> str:
-    parts = " UNION ALL ".join(
-        f"SELECT seq, array_to_string(list_slice(words, i, i + {n - 1}), ' ') AS term "
-        f"FROM tokens, range(1, len(words) - {n - 2}) AS r(i)"
-        for n in range(shortest, longest + 1))
-    return f"""tokens AS (
+    return f"""split_docs AS (
   SELECT seq, regexp_extract_all(lower(payload), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS words
   FROM ({docs})),
-grams AS ({parts})"""
+{_grams('words', shortest, longest, ' ')}"""
 
 
 _STATS = """stats AS (

@@ -614,14 +614,18 @@ def score_threshold(spark, sf_dir):
         "name string, at_contamination double, at_nu double")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session.spread(A.document_frames(spark, sf_dir), "seq")
+
+
 @query
 def term_stats(spark, sf_dir):
-    return tfidf.term_stats(A.document_frames(spark, sf_dir), "char", 3, 5)
+    return tfidf.term_stats(_documents(spark, sf_dir), "char", 3, 5)
 
 
 @query
 def top_terms(spark, sf_dir):
-    return tfidf.vocabulary(A.document_frames(spark, sf_dir), "char", 3, 6)
+    return tfidf.vocabulary(_documents(spark, sf_dir), "char", 3, 6)
 
 
 def _weights(docs: DataFrame, analyzer: str, shortest: int, longest: int) -> DataFrame:
@@ -638,4 +642,4 @@ def char_tfidf(spark, sf_dir):
 
 @query
 def word_tfidf(spark, sf_dir):
-    return _weights(A.document_frames(spark, sf_dir), "word", 1, 3)
+    return _weights(_documents(spark, sf_dir), "word", 1, 3)

@@ -53,12 +53,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Gives CPU-heavy work a partition per core when the input has fewer.
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Gives CPU-heavy work on a small file scan a partition per core.
 
-    Large inputs already come in more partitions and are left alone, without a shuffle.
+    A scan has fewer splits than cores only when it holds a few megabytes per core; anything
+    larger is left as it is, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)

@@ -17,7 +17,14 @@ def counted_terms(docs: DataFrame, analyzer: str, shortest: int, longest: int,
 
 
 def term_stats(docs: DataFrame, analyzer: str, shortest: int, longest: int) -> DataFrame:
-    """Corpus and document frequency of every term: one shuffle, partial sums before it."""
+    """Corpus and document frequency of every term: one shuffle, partial sums before it.
+
+    A ``weight`` column counts a document several times.
+    """
+    if "weight" in docs.columns:
+        terms = counted_terms(docs, analyzer, shortest, longest, "weight")
+        return terms.groupBy("term").agg(
+            F.sum(F.col("tf") * F.col("weight")).alias("tf"), F.sum("weight").alias("df"))
     return counted_terms(docs, analyzer, shortest, longest).groupBy("term").agg(
         F.sum("tf").alias("tf"), F.count("*").alias("df"))
 

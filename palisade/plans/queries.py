@@ -11,10 +11,11 @@ from palisade import constants as C
 from palisade import session
 from palisade.functions import scoring, text, times
 from palisade.operators import (
-    correlate, evaluate, fusion, normalize, quantiles, report, scaling, sequence, snapshots,
-    synth, tfidf,
+    correlate, evaluate, explain, fusion, normalize, ocsvm, quantiles, report, scaling, sequence,
+    snapshots, synth, tfidf,
 )
 from palisade.plans import adapters as A
+from palisade.plans import pipeline
 from palisade.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -643,3 +644,93 @@ def char_tfidf(spark, sf_dir):
 @query
 def word_tfidf(spark, sf_dir):
     return _weights(_documents(spark, sf_dir), "word", 1, 3)
+
+
+# --- learned models ------------------------------------------------------------------------------
+
+_TRAINED: dict[tuple[str, str], str] = {}
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {
+        "WEB_APP": augment_web(spark, sf_dir),
+        "AUTH_LINUX": augment_ssh(spark, sf_dir),
+        "AUTH_WINDOWS": synth.augmented(
+            A.table(spark, sf_dir, "benchmark").select(F.col("text").alias("payload")),
+            "AUTH_WINDOWS"),
+        "HOST_LIN": augment_linux(spark, sf_dir),
+        "HOST_WIN": augment_windows(spark, sf_dir),
+    }
+
+
+def trained(spark: SparkSession, sf_dir: str, part: str) -> pipeline.Models:
+    """Models over the driver's tables; trained once per session and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, part)
+    if key not in _TRAINED:
+        root = session.scratch_path(spark, f"models-{part}")
+        if part == "flow":
+            pipeline.train_flow(session.spread(A.flows(spark, sf_dir), "seq"), root)
+        else:
+            pipeline.train_text(_layers(spark, sf_dir), root)
+        _TRAINED[key] = root
+    return pipeline.load_models(spark, _TRAINED[key])
+
+
+@query
+def iforest_score(spark, sf_dir):
+    model = trained(spark, sf_dir, "flow").flow
+    rows = session.spread(A.flows(spark, sf_dir), "seq")
+    return pipeline.score_flows(rows, model).select("seq", "score", "prediction")
+
+
+@query
+def shap_evidence(spark, sf_dir):
+    model = trained(spark, sf_dir, "flow").flow
+    rows = session.spread(A.flows(spark, sf_dir), "seq")
+    flagged = pipeline.score_flows(rows, model).where(F.col("prediction") == -1)
+    shown = explain.with_shapley(flagged, model.trees, pipeline.SCALED)
+    return shown.select(
+        "seq", "score", "shap", "expected",
+        scoring.evidence_display(explain.flow_evidence(F.col("shap"), C.FLOW_FEATURES)).alias(
+            "evidence"),
+        scoring.evidence_display(explain.flow_directions(F.col("shap"), C.FLOW_FEATURES)).alias(
+            "directions"))
+
+
+def _text_frames(spark: SparkSession, sf_dir: str, models) -> DataFrame:
+    frames = session.spread(A.event_frames(spark, sf_dir), "seq")
+    return normalize.route_to_models(normalize.enrich(frames), list(models))
+
+
+@query
+def ocsvm_score(spark, sf_dir):
+    models = trained(spark, sf_dir, "text").text
+    frames = _text_frames(spark, sf_dir, models)
+    return ocsvm.predicted(ocsvm.decided(frames, models)).select(
+        "seq", "tag", "model_tag", "decision", "prediction")
+
+
+@query
+def lime_evidence(spark, sf_dir):
+    models = trained(spark, sf_dir, "text").text
+    scored = ocsvm.predicted(ocsvm.decided(_text_frames(spark, sf_dir, models), models))
+    shown = explain.with_word_weights(scored.where(F.col("prediction") == -1), models)
+    return shown.select("seq", "tag", "payload", scoring.evidence_display(
+        scoring.evidence_or_default(explain.text_evidence(F.col("words")))).alias("evidence"))
+
+
+@query
+def reconstruction(spark, sf_dir):
+    """The whole chain with learned models: route, score, explain, correlate."""
+    models = pipeline.Models(trained(spark, sf_dir, "flow").flow,
+                             trained(spark, sf_dir, "text").text)
+    frames = session.spread(A.event_frames(spark, sf_dir).drop("base"), "seq")
+    return pipeline.reconstruct(frames, models)[0]
+
+
+@query
+def learned_evaluation(spark, sf_dir):
+    models = pipeline.Models(trained(spark, sf_dir, "flow").flow,
+                             trained(spark, sf_dir, "text").text)
+    frames = A.event_frames(spark, sf_dir).drop("base")
+    return _rounded(pipeline.evaluation(frames, EVENT_DATASETS, models, INJECT_START))

@@ -493,3 +493,19 @@ UNION ALL SELECT dataset, src_ip, payload, act, seq, '2026-04-30T12:00:00Z' FROM
     "char_tfidf": _tfidf(_char_grams(PAGES, 3, 5), "pages"),
     "word_tfidf": _tfidf(_word_grams(DOCS, 1, 3), "documents"),
 }
+
+# streams must give what the batch form gives
+SQL["stream_state_changes"] = SQL["state_changes"]
+SQL["stream_fusion"] = SQL["ledger"]
+SQL["stream_normalize"] = (
+    "WITH parsed AS (" + SQL["parse_snapshot_line"] + ") "
+    "SELECT source, state, count(*) AS n FROM parsed GROUP BY source, state")
+SQL["stream_seeded_changes"] = _with(SNAPSHOTS) + """, firsts AS (
+  SELECT min(seq) AS seq, uid, state FROM states GROUP BY uid, state),
+seed AS (SELECT uid, state AS known FROM firsts
+  QUALIFY row_number() OVER (PARTITION BY uid ORDER BY seq DESC) = 1)
+SELECT seq, uid, state FROM (
+  SELECT s.seq, s.uid, s.state, d.known,
+    lag(s.state) OVER (PARTITION BY s.uid ORDER BY s.seq) AS old
+  FROM states s LEFT JOIN seed d ON s.uid = d.uid)
+WHERE state IS DISTINCT FROM coalesce(old, known)"""

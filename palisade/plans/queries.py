@@ -17,6 +17,8 @@ from palisade.operators import (
 from palisade.plans import adapters as A
 from palisade.plans import pipeline
 from palisade.sources import readers, sinks
+from palisade.streaming import fusion as stream_fusion_rows
+from palisade.streaming import snapshots as stream_snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -734,3 +736,79 @@ def learned_evaluation(spark, sf_dir):
                              trained(spark, sf_dir, "text").text)
     frames = A.event_frames(spark, sf_dir).drop("base")
     return _rounded(pipeline.evaluation(frames, EVENT_DATASETS, models, INJECT_START))
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+STREAM_FILES = 4
+
+
+def _files_in_order(rows: DataFrame, name: str, key: str = "seq") -> str:
+    """Rows as a few parquet files, one key range each, for a file stream to pick up."""
+    path = session.scratch_path(rows.sparkSession, name)
+    rows.repartitionByRange(STREAM_FILES, key).write.parquet(path)
+    return path
+
+
+def _run_stream(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """Runs a stream over what is there and returns what it wrote."""
+    path, mark = session.scratch_path(spark, name), session.scratch_path(spark, "mark")
+    run = (
+        stream.writeStream.format("parquet").outputMode("append").option("path", path)
+        .option("checkpointLocation", mark).trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query
+def stream_normalize(spark, sf_dir):
+    """Lines rolled into one folder per source, parsed as they arrive."""
+    path = session.scratch_path(spark, "dumps")
+    lines = A.snapshot_lines(spark, sf_dir)
+    for source, prefix in (("NETWORK", "network"), ("OS", "os"), ("APP", "app")):
+        own = lines.where(F.col("source") == source).select("line")
+        own.write.mode("append").text(f"{path}/{prefix}")
+    own = spark.newSession()
+    streams = None
+    for source in C.SNAPSHOT_COLUMNS:
+        rows = own.readStream.text(f"{path}/{source.lower()}").select(
+            F.lit(source).alias("source"), F.col("value").alias("line"))
+        streams = rows if streams is None else streams.unionByName(rows)
+    records = stream_snapshots.normalized(streams)
+    out = _run_stream(records.drop("timestamp"), spark, "records")
+    return out.select("source", snapshots.state_text(F.col("data")).alias("state")).groupBy(
+        "source", "state").agg(F.count("*").alias("n"))
+
+
+@query
+def stream_state_changes(spark, sf_dir):
+    path = _files_in_order(A.snapshots(spark, sf_dir), "snapshots")
+    own = stream_snapshots.stateful_session(spark)
+    rows = own.readStream.schema(spark.read.parquet(path).schema).option(
+        "maxFilesPerTrigger", STREAM_FILES).parquet(path)
+    return _run_stream(stream_snapshots.changes(rows), spark, "changes").select(
+        "seq", "uid", "state")
+
+
+@query
+def stream_seeded_changes(spark, sf_dir):
+    """Starts from the states an earlier run left: the distinct states of the whole table."""
+    seed = session.materialize(snapshots.last_states(
+        snapshots.distinct_states(A.snapshots(spark, sf_dir))), "seed")
+    path = _files_in_order(A.snapshots(spark, sf_dir), "snapshots")
+    own = stream_snapshots.stateful_session(spark)
+    rows = own.readStream.schema(spark.read.parquet(path).schema).option(
+        "maxFilesPerTrigger", STREAM_FILES).parquet(path)
+    known = own.read.schema(seed.schema).parquet(*seed.inputFiles())
+    return _run_stream(stream_snapshots.changes(rows, known), spark, "changes").select(
+        "seq", "uid", "state")
+
+
+@query
+def stream_fusion(spark, sf_dir):
+    path = _files_in_order(_scored(spark, sf_dir), "scored")
+    own = stream_snapshots.stateful_session(spark)
+    rows = own.readStream.schema(spark.read.parquet(path).schema).option(
+        "maxFilesPerTrigger", STREAM_FILES).parquet(path)
+    return _run_stream(stream_fusion_rows.ledger(rows), spark, "ledger")

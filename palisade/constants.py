@@ -56,7 +56,6 @@ BLANKS = (
     r"\t\n\x0B\f\r \x1C-\x1F\x85\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 # --- fixed values: fusion ------------------------------------------------------------------
 

@@ -56,12 +56,13 @@ def refined_layer(payload: Column, act: Column) -> Column:
 
 
 def model_of(tag: Column) -> Column:
-    """Name of the model for a layer; null when no model is known."""
-    out = None
-    for name, model in C.MODEL_OF_TAG.items():
-        out = F.when(tag == name, F.lit(model)) if out is None else out.when(
-            tag == name, F.lit(model))
-    return out
+    """Name of the model for a layer; null when no model is known.
+
+    A map lookup names ``tag`` once: a chain of comparisons would copy the layer expression
+    into every branch when a predicate is pushed below the projection.
+    """
+    pairs = [F.lit(x) for pair in C.MODEL_OF_TAG.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), tag)
 
 
 def specialist_of(tag: Column) -> Column:
@@ -87,67 +88,3 @@ def truth_label(payload: Column, act: Column, dataset: Column) -> Column:
         .when(contains_any(payload, C.TRUTH_SIGNATURES), 1)
         .otherwise(0)
     )
-
-
-def folded(text: Column) -> Column:
-    """Lower case, runs of two or more blanks folded to one space."""
-    return F.regexp_replace(F.lower(text), f"[{C.BLANKS}]{{2,}}", " ")
-
-
-def char_ngrams(text: Column, shortest: int, longest: int) -> Column:
-    """All character n-grams of the folded text.
-
-    A look-ahead captures n symbols at every position in one walk over the text;
-    ``substring`` would start over for each n-gram and be quadratic on long documents.
-    """
-    def of_length(whole: Column, n: int) -> Column:
-        # never start inside a surrogate pair
-        at_each = rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{n}}}))"
-        return F.regexp_extract_all(whole, F.lit(at_each), F.lit(1))
-
-    def all_lengths(whole: Column) -> Column:
-        return F.concat(*[of_length(whole, n) for n in range(shortest, longest + 1)])
-
-    # bound once, so that the text is folded once
-    return F.flatten(F.transform(F.array(folded(text)), all_lengths))
-
-
-def word_ngrams(text: Column, shortest: int, longest: int) -> Column:
-    """Word n-grams over tokens of two or more word characters."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(C.WORD_TOKEN), F.lit(0))
-
-    def of_length(words: Column, n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.coalesce(grams, F.array().cast("array<string>"))
-
-    def all_lengths(words: Column) -> Column:
-        return F.concat(*[of_length(words, n) for n in range(shortest, longest + 1)])
-
-    return F.flatten(F.transform(F.array(tokens), all_lengths))
-
-
-def ngrams(text: Column, analyzer: str, shortest: int, longest: int) -> Column:
-    build = char_ngrams if analyzer == "char" else word_ngrams
-    return build(text, shortest, longest)
-
-
-def term_counts(terms: Column) -> Column:
-    """Distinct terms of one row with their counts: ``array<struct<term, tf>>``.
-
-    Counting inside the row sends one record per distinct term to the shuffle.
-    """
-    def counted(ordered: Column) -> Column:
-        n = F.size(ordered)
-        starts = F.filter(
-            F.when(n > 0, F.sequence(F.lit(1), n)),
-            lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
-
-        def runs(first: Column) -> Column:
-            return F.transform(first, lambda p, k: F.struct(
-                F.get(ordered, p - 1).alias("term"),
-                (F.coalesce(F.get(first, k + 1), n + 1) - p).cast("bigint").alias("tf")))
-
-        return F.flatten(F.transform(F.array(starts), runs))
-
-    return F.flatten(F.transform(F.array(F.sort_array(terms)), counted))

@@ -137,5 +137,6 @@ def route_to_models(frames: DataFrame, available: list[str] | None = None) -> Da
     The registry is a fixed list of layers, so the lookup is an expression, not a join.
     """
     models = C.MODEL_TAGS if available is None else available
-    return frames.withColumn("model_tag", text.model_of(F.col("tag"))).where(
-        F.col("model_tag").isin(models))
+    served = [tag for tag, model in C.MODEL_OF_TAG.items() if model in models]
+    return frames.where(F.col("tag").isin(served)).withColumn(
+        "model_tag", text.model_of(F.col("tag")))

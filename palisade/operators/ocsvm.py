@@ -10,9 +10,7 @@ All layers train in the same passes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -31,51 +29,20 @@ SCORE_BINS = 4096
 TIE = 1e-6            # single-precision features: scores closer than this are equal
 _DENSE_ROWS = 512
 
-_BLANK_RUN = re.compile(r"\s{2,}")
-_WORD = re.compile(r"\w{2,}")
 _PROJECTIONS: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}  # one per worker process
 
 
-@dataclass
-class TextModel:
+class TextModel(tfidf.Vectorizer):
     """Everything needed to score one layer's text."""
 
-    tag: str
-    terms: dict[str, int]
-    idf: np.ndarray
-    gamma: float = 0.0
-    seed: int = 0
-    features: int = FEATURES
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    rho: float = 0.0
-
-    def __post_init__(self):
-        self.analyzer, self.shortest, self.longest, self.nu = C.TEXT_PROFILES[self.tag]
-
-    def grams(self, text: str) -> Iterator[str]:
-        """The n-grams the column expressions in ``functions.text`` produce."""
-        sizes = range(self.shortest, self.longest + 1)
-        if self.analyzer == "char":
-            folded = _BLANK_RUN.sub(" ", text.lower())
-            for n in sizes:
-                for i in range(len(folded) - n + 1):
-                    yield folded[i:i + n]
-        else:
-            words = _WORD.findall(text.lower())
-            for n in sizes:
-                for i in range(len(words) - n + 1):
-                    yield " ".join(words[i:i + n])
-
-    def tfidf(self, text: str) -> tuple[list[int], np.ndarray]:
-        counts: dict[int, int] = {}
-        for gram in self.grams(text):
-            at = self.terms.get(gram)
-            if at is not None:
-                counts[at] = counts.get(at, 0) + 1
-        where = list(counts)
-        values = np.fromiter(counts.values(), float, len(counts)) * self.idf[where]
-        norm = np.sqrt((values * values).sum())
-        return where, values / norm if norm else values
+    def __init__(self, tag: str, terms: list[str], idf: np.ndarray, gamma: float = 0.0,
+                 seed: int = 0, features: int = FEATURES, weight: np.ndarray | None = None,
+                 rho: float = 0.0):
+        analyzer, shortest, longest, self.nu = C.TEXT_PROFILES[tag]
+        super().__init__(analyzer, shortest, longest, terms, idf)
+        self.tag, self.gamma, self.seed, self.features = tag, gamma, seed, features
+        self.weight = np.zeros(features) if weight is None else weight
+        self.rho = rho
 
     def projection(self) -> tuple[np.ndarray, np.ndarray]:
         key = (self.tag, self.seed, len(self.terms), self.features, self.gamma)
@@ -131,8 +98,8 @@ def _vectorizers(lines: DataFrame, tags: list[str], seed: int, features: int,
         vocab = tfidf.with_idf(
             tfidf.vocabulary(own, analyzer, shortest, longest, size), totals[tag]).collect()
         models[tag] = TextModel(
-            tag, {r["term"]: i for i, r in enumerate(vocab)},
-            np.array([r["idf"] for r in vocab]), seed=seed, features=features)
+            tag, [r["term"] for r in vocab], np.array([r["idf"] for r in vocab]),
+            seed=seed, features=features)
     return models
 
 
@@ -341,7 +308,7 @@ def predicted(frames: DataFrame) -> DataFrame:
 def to_tables(spark: SparkSession, models: dict[str, TextModel]) -> dict[str, DataFrame]:
     """Vocabulary, weights and settings as tables keyed by layer; sizes are fixed."""
     vocab = [(t, term, i, float(m.idf[i])) for t, m in models.items()
-             for term, i in m.terms.items()]
+             for i, term in enumerate(m.names)]
     svm = [(t, i, float(w)) for t, m in models.items() for i, w in enumerate(m.weight)]
     settings = [(t, m.rho, m.gamma, m.seed, m.features) for t, m in models.items()]
     return {
@@ -359,7 +326,7 @@ def from_tables(vocab: DataFrame, svm: DataFrame, settings: DataFrame) -> dict[s
         own = words[words["tag"] == row["tag"]].sort_values("idx")
         vector = vectors[vectors["tag"] == row["tag"]].sort_values("idx")
         models[row["tag"]] = TextModel(
-            row["tag"], dict(zip(own["term"], own["idx"])), own["idf"].to_numpy(),
+            row["tag"], own["term"].tolist(), own["idf"].to_numpy(),
             row["gamma"], row["seed"], row["features"], vector["weight"].to_numpy(),
             row["rho"])
     return models

@@ -54,7 +54,7 @@ def exact_quantiles(values: DataFrame, probs: dict[str, list[float]],
         F.min("x").alias("low"), F.max("x").alias("high"),
         F.sum(weight.cast("bigint")).alias("n")).collect()}
 
-    if method == "linear" and sum(r["n"] for r in spans.values()) <= built_in_rows:
+    if method == "linear" and max((r["n"] for r in spans.values()), default=0) <= built_in_rows:
         listed = sorted({p for name in probs for p in probs[name]})
         rows = values.groupBy("name").agg(
             F.percentile("x", listed, weight.cast("bigint")).alias("q")).collect()

@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade import constants as C
-from palisade.functions import text
-
-
-def counted_terms(docs: DataFrame, analyzer: str, shortest: int, longest: int,
-                  *keep: str) -> DataFrame:
-    """``term, tf`` per document, one row per distinct term; counted inside the row."""
-    grams = text.ngrams(F.col("payload"), analyzer, shortest, longest)
-    return docs.select(*keep, F.inline(text.term_counts(grams)))
+from palisade.functions.grams import gram_counts, ngrams
 
+HELD_ROWS = 200_000  # weights a task holds before it passes them on
 
 def term_stats(docs: DataFrame, analyzer: str, shortest: int, longest: int) -> DataFrame:
-    """Corpus and document frequency of every term: one shuffle, partial sums before it.
+    """Corpus and document frequency of every term of ``payload``.
 
-    A ``weight`` column counts a document several times.
+    Tasks count batch by batch; their counts are added up before and after the one shuffle. A ``weight`` column
+    counts a document several times.
     """
-    if "weight" in docs.columns:
-        terms = counted_terms(docs, analyzer, shortest, longest, "weight")
-        return terms.groupBy("term").agg(
-            F.sum(F.col("tf") * F.col("weight")).alias("tf"), F.sum("weight").alias("df"))
-    return counted_terms(docs, analyzer, shortest, longest).groupBy("term").agg(
-        F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for terms, tf, df in gram_counts(
+                    batch["payload"].tolist(), batch["weight"].tolist(), analyzer, shortest,
+                    longest):
+                yield pd.DataFrame({"term": terms, "tf": tf, "df": df})
+
+    weight = F.col("weight") if "weight" in docs.columns else F.lit(1)
+    rows = docs.select(F.coalesce("payload", F.lit("")).alias("payload"),
+                       weight.cast("bigint").alias("weight"))
+    partial = rows.mapInPandas(count, "term string, tf bigint, df bigint")
+    return partial.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def vocabulary(docs: DataFrame, analyzer: str, shortest: int, longest: int,
@@ -41,19 +46,60 @@ def with_idf(vocab: DataFrame, documents: int) -> DataFrame:
     return vocab.withColumn("idf", smooth)
 
 
-def weights(docs: DataFrame, vocab: DataFrame, analyzer: str, shortest: int,
-            longest: int) -> DataFrame:
-    """``seq, term, weight`` with unit length per document.
+class Vectorizer:
+    """A vocabulary of at most a few thousand terms, ready for use inside tasks."""
 
-    The vocabulary has a fixed largest size, so it is broadcast. Each document is condensed
-    to its vocabulary terms before the only shuffle.
-    """
-    terms = counted_terms(docs, analyzer, shortest, longest, "seq")
-    known = terms.join(F.broadcast(vocab.select("term", "idf")), "term").select(
-        "seq", F.struct("term", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
-    rows = known.groupBy("seq").agg(F.collect_list("e").alias("es"))  # at most one per term
-    norm = F.sqrt(F.aggregate("es", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
-    return (
-        rows.withColumn("norm", norm).select("seq", "norm", F.inline("es"))
-        .select("seq", "term", (F.col("w") / F.col("norm")).alias("weight"))
-    )
+    def __init__(self, analyzer: str, shortest: int, longest: int, terms: list[str],
+                 idf: np.ndarray):
+        self.analyzer, self.shortest, self.longest = analyzer, shortest, longest
+        self.names = list(terms)
+        self.terms = {t: i for i, t in enumerate(self.names)}
+        self.idf = np.asarray(idf, float)
+
+    def tfidf(self, text: str) -> tuple[list[int], np.ndarray]:
+        """Term numbers in use and their weights, of unit length together."""
+        counts: dict[int, int] = {}
+        for gram in ngrams(text, self.analyzer, self.shortest, self.longest):
+            at = self.terms.get(gram)
+            if at is not None:
+                counts[at] = counts.get(at, 0) + 1
+        where = list(counts)
+        values = np.fromiter(counts.values(), float, len(counts)) * self.idf[where]
+        norm = np.sqrt((values * values).sum())
+        return where, values / norm if norm else values
+
+
+def vectorizer(vocab: DataFrame, analyzer: str, shortest: int, longest: int) -> Vectorizer:
+    """Collects a vocabulary (``term``, ``idf``); its size is fixed."""
+    rows = vocab.select("term", "idf").collect()
+    return Vectorizer(analyzer, shortest, longest, [r["term"] for r in rows],
+                      np.array([r["idf"] for r in rows]))
+
+
+def weights(docs: DataFrame, vector: Vectorizer) -> DataFrame:
+    """``seq, term, weight`` with unit length per document; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(vector)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = np.array(shared.value.names, object)
+        for batch in batches:
+            seqs, terms, values, held = [], [], [], 0
+            for seq, text in zip(batch["seq"], batch["payload"]):
+                where, one = shared.value.tfidf(text)
+                seqs.append(np.full(len(where), seq))
+                terms.append(np.array(where, np.int64))
+                values.append(one)
+                held += len(where)
+                if held >= HELD_ROWS:
+                    yield _weight_rows(seqs, terms, values, names)
+                    seqs, terms, values, held = [], [], [], 0
+            if held:
+                yield _weight_rows(seqs, terms, values, names)
+
+    rows = docs.select("seq", F.coalesce("payload", F.lit("")).alias("payload"))
+    return rows.mapInPandas(weigh, "seq bigint, term string, weight double")
+
+
+def _weight_rows(seqs: list, terms: list, values: list, names: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"seq": np.concatenate(seqs), "term": names[np.concatenate(terms)],
+                         "weight": np.concatenate(values)})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade import session
+
 START = "2024-01-01 00:00:00"
 
 
@@ -25,7 +27,6 @@ PAYLOADS = [
 
 
 def _payload(user: Column, seq: Column) -> Column:
-    """One small expression: predicates over the payload are pushed below it and copy it."""
     template = F.get(F.array(*[F.lit(p) for p in PAYLOADS]), (seq % 8).cast("int"))
     return F.replace(template, F.lit("<host>"), (user % 200).cast("string"))
 
@@ -41,7 +42,11 @@ def _pick(kind: Column, names: dict[str, str], rest: str) -> Column:
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as frames, with a stand-in verdict ``base``."""
     user, seq, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    # The payload of a real log is a stored column. Here a one-row generator stands between
+    # its expression and the predicates over it, which would copy it once per signature.
+    held = F.inline(F.array(F.struct(_payload(user, seq).alias("payload"))))
+    events = session.spread(table(spark, sf_dir, "events"), "event_id")
+    return events.select("*", held).select(
         seq.alias("seq"),
         "ts",
         F.when(user % 5 == 0, F.lit("0.0.0.0")).otherwise(
@@ -51,7 +56,7 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("bigint").alias("dst_pt"),
         F.floor(F.col("value") * 100).cast("bigint").alias("b_in"),
         (seq % 1500).alias("b_out"),
-        _payload(user, seq).alias("payload"),
+        "payload",
         F.when(F.col("value") >= 100, F.lit(1.0)).otherwise(F.lit(0.0)).alias("base"),
         _pick(kind, {"error": "Linux_2k.log_structured", "view": "Windows_2k.log_structured",
                      "signup": "OpenSSH_2k.log_structured",
@@ -139,10 +144,11 @@ def snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == 4, F.concat(row, F.lit("  user "), user, F.lit("   title")))
         .otherwise(row)
     )
-    return table(spark, sf_dir, "events").select(
+    held = F.inline(F.array(F.struct(line.alias("line"))))  # as in event_frames
+    events = session.spread(table(spark, sf_dir, "events"), "event_id")
+    return events.select("*", held).select(
         F.col("event_id").alias("seq"), "ts",
-        _pick(kind, {"error": "OS", "view": "NETWORK"}, "APP").alias("source"),
-        line.alias("line"))
+        _pick(kind, {"error": "OS", "view": "NETWORK"}, "APP").alias("source"), "line")
 
 
 def judged_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

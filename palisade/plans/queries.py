@@ -634,8 +634,8 @@ def top_terms(spark, sf_dir):
 def _weights(docs: DataFrame, analyzer: str, shortest: int, longest: int) -> DataFrame:
     vocab = tfidf.with_idf(
         tfidf.vocabulary(docs, analyzer, shortest, longest), docs.count())
-    return tfidf.weights(docs, vocab, analyzer, shortest, longest).withColumn(
-        "weight", F.round("weight", 6))
+    vector = tfidf.vectorizer(vocab, analyzer, shortest, longest)
+    return tfidf.weights(docs, vector).withColumn("weight", F.round("weight", 6))
 
 
 @query

@@ -1,9 +1,10 @@
-"""One-class SVM on text: TF-IDF, random Fourier features, a linear margin.
+"""One-class SVM on text: TF-IDF, a radial kernel on landmark lines, a linear margin.
 
-The radial kernel is approximated by random cosine features (Rahimi and Recht 2007); in their
-space the one-class problem (Schoelkopf 2001) asks for the shortest vector of the reduced hull
-of the training rows. Each round moves towards the mean of the rows the present solution
-scores lowest, with the best step in closed form. A round is two passes over the features: a
+The kernel is taken against a fixed number of landmark lines (Nystroem method, Williams and
+Seeger 2001); with no more distinct lines than landmarks it is exact. In the space they span,
+the one-class problem (Schoelkopf 2001) asks for the shortest vector of the reduced hull of
+all training rows. Each round adds the mean of the rows the present solution scores lowest and
+takes the shortest mixture of all means so far. A round is two passes over the features: a
 histogram of scores, then sums of the tail. Only those sums reach the driver.
 All layers train in the same passes.
 """
@@ -17,65 +18,72 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palisade import constants as C
 from palisade import session
 from palisade.operators import tfidf
 from palisade.operators.quantiles import exact_quantiles
 
-FEATURES = 2048
-ROUNDS = 12
+LANDMARKS = 512
+COVER_ROUNDS = 4      # passes that look for lines the landmarks do not cover yet
+ROUNDS = 20
 SCORE_BINS = 4096
 TIE = 1e-6            # single-precision features: scores closer than this are equal
 _DENSE_ROWS = 512
-
-_PROJECTIONS: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}  # one per worker process
+_RANK_CUT = 1e-7      # directions the landmarks do not span are left out
 
 
 class TextModel(tfidf.Vectorizer):
     """Everything needed to score one layer's text."""
 
     def __init__(self, tag: str, terms: list[str], idf: np.ndarray, gamma: float = 0.0,
-                 seed: int = 0, features: int = FEATURES, weight: np.ndarray | None = None,
+                 landmarks: list[str] | None = None, weight: np.ndarray | None = None,
                  rho: float = 0.0):
         analyzer, shortest, longest, self.nu = C.TEXT_PROFILES[tag]
         super().__init__(analyzer, shortest, longest, terms, idf)
-        self.tag, self.gamma, self.seed, self.features = tag, gamma, seed, features
-        self.weight = np.zeros(features) if weight is None else weight
-        self.rho = rho
-
-    def projection(self) -> tuple[np.ndarray, np.ndarray]:
-        key = (self.tag, self.seed, len(self.terms), self.features, self.gamma)
-        if key not in _PROJECTIONS:
-            rng = np.random.default_rng([self.seed, C.MODEL_TAGS.index(self.tag)])
-            w = rng.standard_normal((len(self.terms), self.features), dtype=np.float32)
-            w *= np.float32(np.sqrt(2.0 * self.gamma))
-            shift = rng.uniform(0.0, 2.0 * np.pi, self.features).astype(np.float32)
-            _PROJECTIONS[key] = (w, shift)
-        return _PROJECTIONS[key]
-
-    def mapped(self, rows: list[tuple[list[int], np.ndarray]]) -> np.ndarray:
-        """Random features of TF-IDF rows; only the terms in use are multiplied."""
-        w, shift = self.projection()
-        used = sorted({i for where, _ in rows for i in where})
-        place = {term: k for k, term in enumerate(used)}
-        dense = np.zeros((len(rows), len(used)), np.float32)
-        for r, (where, values) in enumerate(rows):
-            dense[r, [place[i] for i in where]] = values
-        z = dense @ w[used] if used else np.zeros((len(rows), self.features), np.float32)
-        z += shift
-        np.cos(z, out=z)
-        z *= np.float32(np.sqrt(2.0 / self.features))
-        return z
-
-    def features_of(self, texts: list[str]) -> np.ndarray:
-        parts = [self.mapped([self.tfidf(t) for t in texts[i:i + _DENSE_ROWS]])
-                 for i in range(0, len(texts), _DENSE_ROWS)]
-        return np.concatenate(parts) if parts else np.zeros((0, self.features), np.float32)
+        self.tag, self.gamma, self.rho = tag, gamma, rho
+        self.landmarks = landmarks or []
+        self.weight = np.zeros(len(self.landmarks)) if weight is None else weight
+        self._basis = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_basis": None}  # rebuilt where it is used
+
+    def _landmark_rows(self) -> np.ndarray:
+        if self._basis is None:
+            self._basis = np.zeros((len(self.landmarks), len(self.terms)), np.float32)
+            for row, line in enumerate(self.landmarks):
+                where, values = self.tfidf(line)
+                self._basis[row, where] = values
+        return self._basis
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        """Kernel values of texts against the landmarks; only terms in use are multiplied."""
+        basis = self._landmark_rows()
+        own = (basis * basis).sum(axis=1)
+        parts = []
+        for start in range(0, len(texts), _DENSE_ROWS):
+            rows = [self.tfidf(t) for t in texts[start:start + _DENSE_ROWS]]
+            used = sorted({i for where, _ in rows for i in where})
+            place = {term: k for k, term in enumerate(used)}
+            dense = np.zeros((len(rows), len(used)), np.float32)
+            for r, (where, values) in enumerate(rows):
+                dense[r, [place[i] for i in where]] = values
+            apart = ((dense * dense).sum(axis=1)[:, None] + own
+                     - 2.0 * (dense @ basis[:, used].T))
+            parts.append(np.exp(-self.gamma * np.maximum(apart, 0.0)))
+        return np.concatenate(parts) if parts else np.zeros((0, len(own)), np.float32)
+
+    def whitening(self) -> np.ndarray:
+        """Turns kernel rows into features whose products give the kernel back."""
+        values, vectors = np.linalg.eigh(self.kernel(self.landmarks).astype(float))
+        kept = values > _RANK_CUT * values[-1]
+        return vectors[:, kept] / np.sqrt(values[kept])
 
     def decision(self, texts: list[str]) -> np.ndarray:
         """Positive for normal text, negative for anomalies."""
-        return self.features_of(texts) @ self.weight.astype(np.float32) - self.rho
+        return self.kernel(texts).astype(float) @ self.weight - self.rho
 
 
 def corpus(layers: dict[str, DataFrame]) -> DataFrame:
@@ -87,8 +95,8 @@ def corpus(layers: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy("tag", "payload").agg(F.count("*").alias("weight"))
 
 
-def _vectorizers(lines: DataFrame, tags: list[str], seed: int, features: int,
-                 size: int) -> dict[str, TextModel]:
+def _untrained(lines: DataFrame, tags: list[str], size: int) -> dict[str, TextModel]:
+    """Vocabularies of all layers; their size is fixed."""
     models = {}
     totals = {r["tag"]: r["n"] for r in lines.groupBy("tag").agg(
         F.sum("weight").alias("n")).collect()}
@@ -98,11 +106,53 @@ def _vectorizers(lines: DataFrame, tags: list[str], seed: int, features: int,
         vocab = tfidf.with_idf(
             tfidf.vocabulary(own, analyzer, shortest, longest, size), totals[tag]).collect()
         models[tag] = TextModel(
-            tag, [r["term"] for r in vocab], np.array([r["idf"] for r in vocab]),
-            seed=seed, features=features)
+            tag, [r["term"] for r in vocab], np.array([r["idf"] for r in vocab]))
     return models
 
 
+def _first_of(rows: DataFrame, order: list, n: int) -> dict[str, list[str]]:
+    """The first ``n`` payloads of every layer; a task sends at most ``n`` per layer."""
+    place = F.row_number().over(Window.partitionBy("tag").orderBy(*order))
+    out: dict[str, list[str]] = {}
+    for r in rows.withColumn("nth", place).where(F.col("nth") <= n).orderBy(
+            "tag", "nth").collect():
+        out.setdefault(r["tag"], []).append(r["payload"])
+    return out
+
+
+def _set_landmarks(lines: DataFrame, models: dict[str, TextModel], seed: int,
+                   count: int) -> None:
+    """The commonest lines first, then, round by round, the lines covered worst so far.
+
+    What a line has in common with no landmark would be lost to the model.
+    """
+    share = max(count // (COVER_ROUNDS + 1), 1)
+    chance = F.xxhash64(F.lit(seed), "payload")
+    for tag, found in _first_of(lines, [F.desc("weight"), chance, "payload"],
+                                count - COVER_ROUNDS * share).items():
+        models[tag].landmarks = found
+    for _ in range(COVER_ROUNDS):
+        turn = {tag: m.whitening() for tag, m in models.items()}
+        shared = lines.sparkSession.sparkContext.broadcast((models, turn))
+
+        def uncovered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known, basis = shared.value
+            for batch in batches:
+                for tag, group in batch.groupby("tag"):
+                    z = known[tag].kernel(group["payload"].tolist()) @ basis[tag]
+                    yield pd.DataFrame({"tag": tag, "payload": group["payload"].to_numpy(),
+                                        "rest": np.round(1.0 - (z * z).sum(axis=1), 6)})
+
+        rest = lines.select("tag", "payload").mapInPandas(
+            uncovered, "tag string, payload string, rest double").where(F.col("rest") > 1e-3)
+        worst = _first_of(rest, [F.desc("rest"), chance, "payload"], share)
+        for tag, found in worst.items():
+            models[tag].landmarks = models[tag].landmarks + found
+            models[tag]._basis = None
+        if not worst:
+            break
+
+
 def _set_gamma(lines: DataFrame, models: dict[str, TextModel]) -> None:
     """1 / (terms x variance of all matrix entries), from plain sums."""
     shared = lines.sparkSession.sparkContext.broadcast(models)
@@ -124,13 +174,15 @@ def _set_gamma(lines: DataFrame, models: dict[str, TextModel]) -> None:
         model.gamma = 1.0 / (max(len(model.terms), 1) * variance) if variance > 0 else 1.0
 
 
-def _feature_rows(lines: DataFrame, models: dict[str, TextModel]) -> DataFrame:
-    shared = lines.sparkSession.sparkContext.broadcast(models)
+def _feature_rows(lines: DataFrame, models: dict[str, TextModel],
+                  whitening: dict[str, np.ndarray]) -> DataFrame:
+    shared = lines.sparkSession.sparkContext.broadcast((models, whitening))
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, turn = shared.value
         for batch in batches:
             for tag, group in batch.groupby("tag"):
-                z = shared.value[tag].features_of(group["payload"].tolist())
+                z = (known[tag].kernel(group["payload"].tolist()) @ turn[tag]).astype(np.float32)
                 yield pd.DataFrame({"tag": tag, "weight": group["weight"].to_numpy(),
                                     "z": [row.tobytes() for row in z]})
 
@@ -235,21 +287,40 @@ def _tail_edge(held: np.ndarray, mass: float) -> tuple[int, float]:
     return at, (mass - before) / held[at] if held[at] else 0.0
 
 
-def fit(lines: DataFrame, tags: list[str], seed: int = C.FOREST_SEED, features: int = FEATURES,
-        rounds: int = ROUNDS, size: int = C.VOCABULARY_SIZE,
+def _shortest(points: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Mixture of a few points with the smallest length, by exact pairwise steps."""
+    gram = points @ points.T
+    share = start.copy()
+    for _ in range(5000):
+        slope = gram @ share
+        used = np.flatnonzero(share > 0)
+        to, out = int(slope.argmin()), int(used[slope[used].argmax()])
+        if slope[out] - slope[to] < 1e-10:
+            break
+        bend = max(gram[to, to] + gram[out, out] - 2.0 * gram[to, out], 1e-15)
+        step = min(share[out], (slope[out] - slope[to]) / bend)
+        share[to] += step
+        share[out] -= step
+    return share
+
+
+def fit(lines: DataFrame, tags: list[str], seed: int = C.FOREST_SEED,
+        landmarks: int = LANDMARKS, rounds: int = ROUNDS, size: int = C.VOCABULARY_SIZE,
         tolerance: float = 1e-4) -> dict[str, TextModel]:
     """Models of all layers from ``corpus`` lines."""
     spark = lines.sparkSession
-    lines = session.materialize(lines, "corpus")
-    models = _vectorizers(lines, tags, seed, features, size)
+    lines = session.spread(session.materialize(lines, "corpus"))
+    models = _untrained(lines, tags, size)
     _set_gamma(lines, models)
-    cores = spark.sparkContext.defaultParallelism
-    spread = lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
-    z = _feature_rows(spread, models).persist(StorageLevel.MEMORY_AND_DISK)
+    _set_landmarks(lines, models, seed, landmarks)
+    whitening = {tag: models[tag].whitening() for tag in tags}
+    z = _feature_rows(lines, models, whitening).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         means = _sums(z, None, None)
         total = {tag: means[tag, 0][0] for tag in tags}
-        weights = {tag: means[tag, 0][1] / means[tag, 0][0] for tag in tags}
+        points = {tag: (means[tag, 0][1] / total[tag])[None, :] for tag in tags}
+        shares = {tag: np.ones(1) for tag in tags}
+        weights = {tag: points[tag][0] for tag in tags}
         for _ in range(rounds):
             held = _histogram(z, weights)
             ends = {t: _tail_edge(held[t], models[t].nu * total[t]) for t in tags}
@@ -257,21 +328,20 @@ def fit(lines: DataFrame, tags: list[str], seed: int = C.FOREST_SEED, features:
             gap = 0.0
             for tag in tags:
                 low = sums.get((tag, 0), (0.0, 0.0))[1]
-                rest = sums.get((tag, 1), (0.0, 0.0))[1]
-                target = (low + ends[tag][1] * rest) / (models[tag].nu * total[tag])
-                away = weights[tag] - target
-                lead = float(weights[tag] @ away)
-                gap = max(gap, lead)
-                length = float(away @ away)
-                step = min(max(lead / length, 0.0), 1.0) if length > 0 else 0.0
-                weights[tag] = weights[tag] - step * away
+                edge = sums.get((tag, 1), (0.0, 0.0))[1]
+                target = (low + ends[tag][1] * edge) / (models[tag].nu * total[tag])
+                gap = max(gap, float(weights[tag] @ (weights[tag] - target)))
+                points[tag] = np.vstack([points[tag], target])
+                shares[tag] = _shortest(points[tag], np.append(shares[tag], 0.0))
+                weights[tag] = shares[tag] @ points[tag]
             if gap < tolerance:
                 break
         scored = _scores(z, weights).select(
             F.col("tag").alias("name"), F.col("score").alias("x"), "weight")
         rho = exact_quantiles(scored, {t: [models[t].nu] for t in tags}, method="lower")
         for tag in tags:
-            models[tag].weight, models[tag].rho = weights[tag], rho[tag][0]
+            models[tag].weight = whitening[tag] @ weights[tag]
+            models[tag].rho = rho[tag][0]
     finally:
         z.unpersist()
     return models
@@ -306,27 +376,26 @@ def predicted(frames: DataFrame) -> DataFrame:
 
 
 def to_tables(spark: SparkSession, models: dict[str, TextModel]) -> dict[str, DataFrame]:
-    """Vocabulary, weights and settings as tables keyed by layer; sizes are fixed."""
+    """Vocabulary, landmarks and settings as tables keyed by layer; sizes are fixed."""
     vocab = [(t, term, i, float(m.idf[i])) for t, m in models.items()
              for i, term in enumerate(m.names)]
-    svm = [(t, i, float(w)) for t, m in models.items() for i, w in enumerate(m.weight)]
-    settings = [(t, m.rho, m.gamma, m.seed, m.features) for t, m in models.items()]
+    svm = [(t, i, line, float(m.weight[i])) for t, m in models.items()
+           for i, line in enumerate(m.landmarks)]
+    settings = [(t, float(m.rho), float(m.gamma)) for t, m in models.items()]
     return {
         "vocab": spark.createDataFrame(vocab, "tag string, term string, idx int, idf double"),
-        "svm": spark.createDataFrame(svm, "tag string, idx int, weight double"),
-        "svm_settings": spark.createDataFrame(
-            settings, "tag string, rho double, gamma double, seed int, features int"),
+        "svm": spark.createDataFrame(svm, "tag string, idx int, payload string, weight double"),
+        "svm_settings": spark.createDataFrame(settings, "tag string, rho double, gamma double"),
     }
 
 
 def from_tables(vocab: DataFrame, svm: DataFrame, settings: DataFrame) -> dict[str, TextModel]:
-    words, vectors = vocab.toPandas(), svm.toPandas()
+    words, lines = vocab.toPandas(), svm.toPandas()
     models = {}
     for row in settings.collect():
         own = words[words["tag"] == row["tag"]].sort_values("idx")
-        vector = vectors[vectors["tag"] == row["tag"]].sort_values("idx")
+        kept = lines[lines["tag"] == row["tag"]].sort_values("idx")
         models[row["tag"]] = TextModel(
-            row["tag"], own["term"].tolist(), own["idf"].to_numpy(),
-            row["gamma"], row["seed"], row["features"], vector["weight"].to_numpy(),
-            row["rho"])
+            row["tag"], own["term"].tolist(), own["idf"].to_numpy(), row["gamma"],
+            kept["payload"].tolist(), kept["weight"].to_numpy(), row["rho"])
     return models

@@ -81,3 +81,56 @@ def push(rows: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint:
         rows.writeStream.foreachBatch(publish).outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
+
+
+class RecentHistory(StatefulProcessor):
+    """Keeps, per layer, the times of the last hits of a source that can still matter.
+
+    Rows carry the whole-number time ``at``. Six times per layer are enough, so the state of
+    a source is bounded; times older than the span are dropped whenever the source is seen.
+    """
+
+    def __init__(self, span: int):
+        self.span = span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "tag string", "times array<bigint>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame],
+                        timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["at", "seq"], ignore_index=True)
+        held = {t[0]: list(times[0]) for t, times in self.seen.iterator()}
+        bonus = []
+        for tag, at in zip(batch["tag"], batch["at"]):
+            since = at - self.span
+            other = any(times and times[-1] >= since for t, times in held.items() if t != tag)
+            own = held.setdefault(tag, [])
+            often = len(own) >= correlate.NEEDED_HITS and own[0] >= since
+            bonus.append(C.CORRELATION_BONUS if other or often else 0.0)
+            own.append(int(at))
+            del own[:-correlate.NEEDED_HITS]
+        batch["bonus"] = bonus
+        oldest = int(batch["at"].iloc[-1]) - self.span
+        for tag, times in held.items():
+            times = [t for t in times if t >= oldest]
+            if times:
+                self.seen.updateValue((tag,), (times,))
+            elif self.seen.containsKey((tag,)):
+                self.seen.removeKey((tag,))
+        yield batch[_COLUMNS]
+
+    def close(self) -> None:
+        pass
+
+
+def recent_ledger(frames: DataFrame, at: str = "at",
+                  span: int = C.CORRELATION_SECONDS) -> DataFrame:
+    """Ledger rows with the time-limited correlation; batches arrive in time order."""
+    suspect = frames.where(F.col("base") > 0).select(
+        *_COLUMNS[:-1], F.col(at).cast("bigint").alias("at"))
+    known = suspect.where(F.col("src_ip") != C.UNKNOWN_IP)
+    unknown = suspect.where(F.col("src_ip") == C.UNKNOWN_IP).withColumn("bonus", F.lit(0.0))
+    correlated = known.groupBy("src_ip").transformWithStateInPandas(
+        statefulProcessor=RecentHistory(span), outputStructType=_BONUSED, outputMode="append",
+        timeMode="none")
+    return fusion.fuse(correlated.unionByName(unknown.drop("at")))

@@ -497,6 +497,7 @@ UNION ALL SELECT dataset, src_ip, payload, act, seq, '2026-04-30T12:00:00Z' FROM
 # streams must give what the batch form gives
 SQL["stream_state_changes"] = SQL["state_changes"]
 SQL["stream_fusion"] = SQL["ledger"]
+SQL["stream_fusion_60s"] = SQL["fusion_alerts_60s"] + " WHERE base > 0"
 SQL["stream_normalize"] = (
     "WITH parsed AS (" + SQL["parse_snapshot_line"] + ") "
     "SELECT source, state, count(*) AS n FROM parsed GROUP BY source, state")

@@ -700,8 +700,8 @@ def shap_evidence(spark, sf_dir):
 
 
 def _text_frames(spark: SparkSession, sf_dir: str, models) -> DataFrame:
-    frames = session.spread(A.event_frames(spark, sf_dir), "seq")
-    return normalize.route_to_models(normalize.enrich(frames), list(models))
+    return normalize.route_to_models(
+        normalize.enrich(A.event_frames(spark, sf_dir)), list(models))
 
 
 @query
@@ -726,8 +726,7 @@ def reconstruction(spark, sf_dir):
     """The whole chain with learned models: route, score, explain, correlate."""
     models = pipeline.Models(trained(spark, sf_dir, "flow").flow,
                              trained(spark, sf_dir, "text").text)
-    frames = session.spread(A.event_frames(spark, sf_dir).drop("base"), "seq")
-    return pipeline.reconstruct(frames, models)[0]
+    return pipeline.reconstruct(A.event_frames(spark, sf_dir).drop("base"), models)[0]
 
 
 @query
@@ -812,3 +811,13 @@ def stream_fusion(spark, sf_dir):
     rows = own.readStream.schema(spark.read.parquet(path).schema).option(
         "maxFilesPerTrigger", STREAM_FILES).parquet(path)
     return _run_stream(stream_fusion_rows.ledger(rows), spark, "ledger")
+
+
+@query
+def stream_fusion_60s(spark, sf_dir):
+    timed = _scored(spark, sf_dir).withColumn("at", A.elapsed_thousandths(F.col("ts")))
+    path = _files_in_order(timed, "scored")
+    own = stream_snapshots.stateful_session(spark)
+    rows = own.readStream.schema(spark.read.parquet(path).schema).option(
+        "maxFilesPerTrigger", STREAM_FILES).parquet(path)
+    return _run_stream(stream_fusion_rows.recent_ledger(rows), spark, "ledger")

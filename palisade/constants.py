@@ -190,12 +190,12 @@ SSH_TEMPLATES = [
     "Received disconnect from 192.168.1.100 port {port}: 11: disconnected by user",
 ]
 LINUX_TEMPLATES = [
-    "session opened for user meehir by (uid={uid})",
-    "pam_unix(sudo:session): session opened for user root by meehir(uid={uid})",
+    "session opened for user {user} by (uid={uid})",
+    "pam_unix(sudo:session): session opened for user root by {user}(uid={uid})",
     "systemd[1]: Started Process Core Dump (PID {pid1}/UID 0).",
     "CRON[{pid2}]: (root) CMD ( /usr/lib/sysstat/sa1 1 1)",
-    "systemd[1]: Started Session {session} of user meehir.",
-    "sshd[{pid3}]: Accepted publickey for meehir from 192.168.1.50 port {port} ssh2",
+    "systemd[1]: Started Session {session} of user {user}.",
+    "sshd[{pid3}]: Accepted publickey for {user} from 192.168.1.50 port {port} ssh2",
 ]
 WINDOWS_TEMPLATES = [
     "An account was successfully logged on. Subject User SID: S-1-5-18. Logon ID: {session}",
@@ -206,6 +206,9 @@ WINDOWS_TEMPLATES = [
     "CommandLine: powershell.exe -NoProfile -Command Exit",
     "The Windows Filtering Platform has permitted a connection. Process ID: {pid}",
 ]
+# accounts that appear in the benign host lines: a setting, name your own here
+BASELINE_USERS = ("analyst",)
+
 # layer -> (rounds, templates, {slot: (low, high)} with both ends included, {slot: choices})
 BASELINES = {
     "WEB_APP": (100, WEB_TEMPLATES, {}, {}),
@@ -214,7 +217,7 @@ BASELINES = {
         150, LINUX_TEMPLATES,
         {"pid1": (1000, 9999), "pid2": (1000, 9999), "pid3": (1000, 9999),
          "session": (1, 500), "port": (30000, 60000)},
-        {"uid": (1000, 1001, 0)},
+        {"uid": (1000, 1001, 0), "user": BASELINE_USERS},
     ),
     "HOST_WIN": (
         150, WINDOWS_TEMPLATES, {"pid": (100, 8000), "session": (100000, 999999)}, {},

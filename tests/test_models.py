@@ -167,7 +167,7 @@ def test_attacks_fall_below_the_margin_and_benign_lines_do_not(text_models):
              ("HOST_WIN", attacks["HOST_WINDOWS"], True),
              ("WEB_APP", "GET /index.html HTTP/1.1 200", False),
              ("HOST_LIN", "pam_unix(sudo:session): session opened for user root by "
-                          "meehir(uid=1000)", False),
+                          "analyst(uid=1000)", False),
              ("HOST_WIN", "A new process has been created. Creator Process ID: 0x4a8. "
                           "Process Name: C:\\Windows\\System32\\svchost.exe", False)]
     for tag, text, attack in cases:

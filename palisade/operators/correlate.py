@@ -64,12 +64,16 @@ def with_marks(frames: DataFrame, history: DataFrame | None = None) -> DataFrame
 
     Frames without a usable address get a key that matches nothing and is spread over many
     values, so they do not meet in one task. A hot address keeps its key: the mark side
-    holds one row for it, and the skew split of adaptive execution cuts the frame side.
+    holds one row for it, and the skew split of adaptive execution cuts the frame side. That
+    split wants a shuffle right below each side; the prefixed key gives the marks their own,
+    of one row per source, where they would else be joined as they leave the aggregation.
     """
-    marks = source_marks(frames if history is None else history)
+    marks = source_marks(frames if history is None else history).withColumn(
+        "mark_ip", F.concat(F.lit("="), "mark_ip"))
     spread = F.concat(F.lit("?"), F.pmod(F.xxhash64("seq"), F.lit(NO_MATCH_SPREAD)))
     usable = F.col("src_ip").isNotNull() & (F.col("src_ip") != C.UNKNOWN_IP)
-    keyed = frames.withColumn("_key", F.when(usable, F.col("src_ip")).otherwise(spread))
+    named = F.concat(F.lit("="), "src_ip")
+    keyed = frames.withColumn("_key", F.when(usable, named).otherwise(spread))
     joined = keyed.join(marks, keyed["_key"] == marks["mark_ip"], "left")
     return joined.withColumns(
         {"cross_layer": cross_layer_hit(), "repeated": repeat_hit()}

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import fingerprints, quality_rules
+from palisade.llm import bpe, fingerprints, packing, quality_rules
 from palisade.llm.common import table
 
+#: Places of the vocabulary files, which every machine has.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"),
+            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -25,3 +31,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(table(spark, sf_dir, "documents"), BYTE_BPE)

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from palisade.llm.common import whole_text
 
@@ -38,7 +39,7 @@ NOT_SPACE = re.compile("[\x1c-\x1f]")
 MEMORY_WORDS = 300_000
 MEMORY_CHARS = 64
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def byte_letters() -> list[str]:
@@ -320,19 +321,18 @@ def batches(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[slice]:
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """Digests of ids and decoded text per document."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(SCHEMA)
+    def digests(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
-        for frame in frames:
-            texts = frame["text"].tolist()
+        for column in columns:
+            texts, rows = column.tolist(), []
             for part in batches(texts):
-                coded = bpe.encode_batch(texts[part])
-                yield pd.DataFrame({
-                    "doc_id": frame["doc_id"].iloc[part],
-                    "n_tokens": [len(i) // 4 for i, _ in coded],
-                    "ids_sha256": [hashlib.sha256(i).hexdigest() for i, _ in coded],
-                    "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for _, t in coded]})
-
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(run, SCHEMA)
+                rows += [(len(ids) // 4, hashlib.sha256(ids).hexdigest(),
+                          hashlib.sha256(text.encode()).hexdigest())
+                         for ids, text in bpe.encode_batch(texts[part])]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", digests(whole_text()).alias("found")).select("doc_id", "found.*")
 
 
 def decode(ids: bytes, path: str) -> str:

@@ -89,7 +89,7 @@ def cuts(n: int, most: int = MAX_TOKENS) -> list[int]:
     return [most] * whole + [1 << k for k in range(most.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+SCHEMA = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, spec: tuple[str, str, str], most: int = MAX_TOKENS,
@@ -115,14 +115,13 @@ def pieces(docs: DataFrame, spec: tuple[str, str, str], most: int = MAX_TOKENS,
                         start += n
                 columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens",
                            *(["ids"] if with_ids else [])]
-                out = pd.DataFrame(rows, columns=columns)
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                yield pd.DataFrame(rows, columns=columns)
 
-    found = docs.select("doc_id", whole_text().alias("text")).mapInPandas(
+    # Ids travel as text: pandas would turn a column of numbers with nulls into floats.
+    found = docs.select(F.col("doc_id").cast("string"), whole_text().alias("text")).mapInPandas(
         run, SCHEMA + (", ids binary" if with_ids else ""))
     return found.select(
-        *[c for c in found.columns if c != "ids"],
+        F.col("doc_id").cast("long"), *[c for c in found.columns if c not in ("doc_id", "ids")],
         F.monotonically_increasing_id().alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
         F.log2("length").cast("int").alias("bucket"), *(["ids"] if with_ids else []))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, fingerprints, packing, pii, quality_rules
+from palisade.llm import bpe, fingerprints, packing, pii, quality_rules, url_filters
 from palisade.llm.common import table
 
 #: Places of the vocabulary files, which every machine has.
@@ -33,6 +33,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), WORD_BPE)

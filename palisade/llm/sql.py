@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from palisade.llm import quality_rules as rules
+from palisade.llm import url_filters as urls
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,6 +61,56 @@ judged AS (SELECT doc_id, f.host, n_words, word_chars, n_symbols, n_dup_lines, n
     FROM failing f JOIN rated r ON f.host IS NOT DISTINCT FROM r.host)"""
 
 
+def url_filters(pages: str = "pages") -> str:
+    """Alias groups by a recursive walk over the links; rules longest first."""
+    order = sorted(urls.RULES, key=lambda r: (-len(r), urls.RULES[r] != urls.ALLOW, r))
+
+    def fits(rule: str) -> str:
+        own, slash, rest = rule.partition("/")
+        return (f"(host = '{own}' OR ends_with(host, '.{own}'))"
+                f" AND starts_with(path, '{slash}{rest}')")
+
+    def parts(url: str) -> str:
+        return (f"translate(regexp_extract({url}, '^.*?://([^/?#]*)', 1, 's'),"
+                f" 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,"
+                f" regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,"
+                f" list_sort(list_filter(string_split(regexp_extract({url},"
+                f" '^.*?://[^?#]*[?]([^#]*)', 1, 's'), '&'), lambda p: p <> '' AND NOT"
+                f" regexp_matches(p, '^({urls.TRACKING})(=|$)'))) AS params")
+
+    form = ("CASE WHEN host <> '' THEN host || regexp_replace(path, '/$', '') ||"
+            " CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END")
+    link = ("regexp_extract_all(html, '<link [^>]*rel=.?canonical[^>]*href=[^a-z/]?([^\"'' >]+)',"
+            " 1, 'is')")
+    refresh = ("regexp_extract_all(html, '<meta [^>]*http-equiv=.?refresh[^>]*url=([^\"'' >]+)',"
+               " 1, 'is')")
+    return f"""
+parts AS (SELECT page_id, html, {parts("coalesce(url, '')")} FROM {pages}),
+ruled AS (SELECT *, {form} AS form,
+    CASE {" ".join(f"WHEN {fits(r)} THEN '{r}'" for r in order)} END AS rule FROM parts),
+targets AS (SELECT form, unnest({link} || {refresh}) AS target FROM ruled),
+absolute AS (SELECT form, CASE WHEN starts_with(target, '//') THEN 'http:' || target
+    WHEN starts_with(target, '/') THEN 'http://' || split_part(form, '/', 1) || target
+    ELSE target END AS target FROM targets WHERE form IS NOT NULL),
+target_parts AS (SELECT form AS a, {parts("target")} FROM absolute),
+one_way AS (SELECT a, {form} AS b FROM target_parts),
+links AS (SELECT DISTINCT * FROM (SELECT a, b FROM one_way UNION ALL SELECT b, a FROM one_way)
+    WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+walk AS (SELECT a AS node, a AS reached FROM links
+    UNION SELECT node, b FROM walk JOIN links ON reached = a),
+groups AS (SELECT node, min(reached) AS component FROM walk GROUP BY node),
+tagged AS (SELECT page_id, host, path, rule, coalesce(component, form) AS alias_group,
+    CASE rule {" ".join(f"WHEN '{r}' THEN '{v}'" for r, v in urls.RULES.items())} END AS own
+    FROM ruled LEFT JOIN groups ON form = node),
+decided AS (SELECT alias_group AS g, bool_or(own = 'allow') AS allowed,
+    bool_or(own = 'block') AS blocked FROM tagged
+    WHERE rule IS NOT NULL AND alias_group IS NOT NULL GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN allowed THEN 'allow'
+    WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, alias_group
+FROM tagged LEFT JOIN decided ON alias_group = g"""
+
+
 SQL = {
+    "op5_url_filters": f"WITH RECURSIVE {url_filters()}",
     "op1_quality_rules": f"WITH {quality_rules()} SELECT * FROM judged",
 }

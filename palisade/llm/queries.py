@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, fingerprints, packing, pii, quality_rules, url_filters
+from palisade.llm import bpe, fingerprints, jaccard_join, packing, pii, quality_rules, url_filters
 from palisade.llm.common import table
 
 #: Places of the vocabulary files, which every machine has.
@@ -51,3 +51,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))

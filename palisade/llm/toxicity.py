@@ -1,9 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 2).
 
-Two interpolated Kneser-Ney models over the bytes of words, one for toxic and one for ordinary
-texts, differ in their highest order only: both discount their own counts of six-byte strings and
-fall back on shared continuation counts of shorter ones. So strings that are rare in either class
-are judged by counts of both, and a new word is judged by its parts.
+Two models over the bytes of words, one for toxic and one for ordinary texts, differ in their
+highest order only. What they share is interpolated Kneser-Ney: discounted counts of six-byte
+strings over continuation counts of shorter ones. A class's probability is the shared one times
+its own count over the count that the shared model expects of it, both smoothed by shared backoff
+counts; so a string that is rare or new in either class says nothing, and a new word is judged by
+its parts.
 
 The log-likelihood ratio of a text, divided by its words, and those of its most telling words go
 into a logistic scale. Counts come from every labelled text that may be learned from; the scale
@@ -17,7 +19,6 @@ labels of both classes every score is 0. Other columns are left out.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from palisade.session import materialize
 #: Bytes of a string whose counts are kept by class, and of the shared shorter ones.
 ORDER, SHARED = 6, (4, 2)
 DISCOUNT = 0.75
+#: Counts by which either class's own count is smoothed towards the shared model.
+BACKOFF = 0.5
 #: Places of a count table, a prime: the model has this size whatever the corpus.
 PLACES = 524_287
 
@@ -41,9 +44,21 @@ SCALE_TEXTS = 20_000
 #: A text is toxic from this score on.
 THRESHOLD = 0.7
 
-#: Words whose ratios count by themselves.
-TELLING = 3
+#: A word's ratio from which it counts by itself.
+TELLING = 2.5
 FOLDS = 3
+MEASURES = ["mean", "told", "share", "length"]
+
+
+#: Signs at either end of a word, which are no part of it.
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
+
+#: Different words that are added to a text's own, so that a word weighs less in a short text.
+STEADY = 20
+
+
+def words_in(text: str) -> list[str]:
+    return [w for x in text.lower().split() if (w := x.strip(SIGNS))]
 
 
 def fold(doc_id: Column) -> Column:
@@ -92,8 +107,8 @@ def counted(rows: DataFrame) -> DataFrame:
         for frame in frames:
             for text, f, toxic in zip(frame["text"], frame["fold"], frame["toxic"]):
                 place = (2 if f == 2 else 0) + int(toxic)
-                for w, n in Counter(text.lower().split()).items():
-                    words.setdefault(w, [0, 0, 0, 0])[place] += n
+                for w in set(words_in(text)):  # repeats in one text tell nothing more
+                    words.setdefault(w, [0, 0, 0, 0])[place] += 1
                 if len(words) > 500_000:
                     yield flush(words)
                     words = {}
@@ -121,13 +136,15 @@ class Model:
             n, t, k = counts[short % PLACES], *(x[(short >> 8) % PLACES] for x in (total, kinds))
             p = np.where(t > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * k * p)
                          / np.maximum(t, 1), p)
-        both = []
-        for c in (0, 1):
-            n = self.top[c][packed % PLACES]
-            t, k = (x[c][(packed >> 8) % PLACES] for x in self.contexts)
-            both.append(np.where(t > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * k * p)
-                                 / np.maximum(t, 1), p))
-        return np.bincount(owner, np.log(both[1] / both[0]), len(words))
+        c0, c1 = (x[packed % PLACES] for x in self.top)
+        t0, t1, k = (x[(packed >> 8) % PLACES] for x in self.contexts)
+        t = t0 + t1
+        p = np.where(t > 0, (np.maximum(c0 + c1 - DISCOUNT, 0) + DISCOUNT * k * p)
+                     / np.maximum(t, 1), p)
+        # What each class has against what the common model expects of it.
+        toxic = (c1 + BACKOFF) / (t1 * p + BACKOFF)
+        ordinary = (c0 + BACKOFF) / (t0 * p + BACKOFF)
+        return np.bincount(owner, np.log(toxic / ordinary), len(words))
 
 
 def _table(rows: DataFrame, key: Column, **sums: Column) -> list[np.ndarray]:
@@ -150,15 +167,14 @@ def model_of(counts: DataFrame, folds: tuple[int, ...]) -> Model | None:
     top = _table(rows, gram, n0=F.col("n0"), n1=F.col("n1"))
     if not top[0].any() or not top[1].any():
         return None
-    c = _table(rows, F.shiftright(gram, 8), t0=F.col("n0"), t1=F.col("n1"),
-               k0=(F.col("n0") > 0).cast("int"), k1=(F.col("n1") > 0).cast("int"))
+    contexts = _table(rows, F.shiftright(gram, 8), t0=F.col("n0"), t1=F.col("n1"), kinds=one)
     shared = {}
     for order in SHARED:
         short = rows.groupBy(gram.bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("short")).agg(
             F.count(one).alias("n"))
         n, = _table(short, F.col("short"), n=F.col("n"))
         shared[order] = (n, *_table(short, F.shiftright("short", 8), t=F.col("n"), k=one))
-    return Model(top, (c[:2], c[2:]), shared)
+    return Model(top, contexts, shared)
 
 
 class Reader:
@@ -169,17 +185,19 @@ class Reader:
         self.seen: dict[str, float] = {}
 
     def measures(self, texts: list[str]) -> np.ndarray:
-        """(mean ratio per word, the TELLING largest ratios of different words) per text."""
+        """Per text: the ratio divided by the words; the telling words' ratios in all, and
+        divided by the different words; the logarithm of the number of words."""
         seen = self.seen
-        cut = [t.lower().split() for t in texts]
+        cut = list(map(words_in, texts))
         new = list({w for own in cut for w in own}.difference(seen))
         seen.update(zip(new, self.model.ratios(new).tolist()))
-        out = np.zeros((len(texts), 1 + TELLING))
+        out = np.zeros((len(texts), len(MEASURES)))
         for k, own in enumerate(cut):
             if own:
-                out[k, 0] = sum([seen[w] for w in own]) / len(own)
-                best = sorted([seen[w] for w in set(own)], reverse=True)[:TELLING]
-                out[k, 1:1 + len(best)] = best
+                different = set(own)
+                told = sum([r for w in different if (r := seen[w]) > TELLING])
+                out[k] = (sum([seen[w] for w in own]) / len(own), np.log1p(told),
+                          told / (len(different) + STEADY), np.log1p(len(own)))
         for w in new:
             if len(w) > MEMORY_CHARS:
                 del seen[w]
@@ -188,7 +206,7 @@ class Reader:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, ...]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, ...]:
     """Mean, scale and weights (the constant last) of a logistic fit by Newton steps."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
@@ -204,6 +222,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndar
     return mean, scale, w
 
 
+def best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """The cut with the best F1, half way to the next value below it."""
+    order = np.argsort(-z, kind="stable")
+    z, y = z[order], y[order]
+    f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][z[:-1] == z[1:]] = 0
+    k = int(f1.argmax())
+    return float((z[k] + z[min(k + 1, len(z) - 1)]) / 2)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
@@ -227,10 +255,10 @@ def fitted(docs: DataFrame, labels: DataFrame):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = pd.DataFrame(reader.measures(frame["text"].tolist()),
-                               columns=[f"x{k}" for k in range(1 + TELLING)])
+                               columns=MEASURES)
             yield out.assign(toxic=frame["toxic"])
 
-    columns = ", ".join(f"x{k} double" for k in range(1 + TELLING))
+    columns = ", ".join(f"{m} double" for m in MEASURES)
     # At most SCALE_TEXTS rows of two numbers are sent to every task.
     sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInPandas(
         run, columns + ", toxic int").toPandas()
@@ -238,7 +266,11 @@ def fitted(docs: DataFrame, labels: DataFrame):
     y = sample.pop("toxic").to_numpy(float)
     if not 0 < y.sum() < len(y):
         return None
-    return whole, logistic(sample.to_numpy(), y)
+    mean, scale, w = logistic(sample.to_numpy(), y)
+    z = (sample.to_numpy() - mean) / scale @ w[:-1] + w[-1]
+    # The threshold goes where it serves the sample best.
+    w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(z, y)
+    return whole, (mean, scale, w)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

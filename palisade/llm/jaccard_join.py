@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.bpe import batches
 from palisade.llm.common import SIMILARITY, shingle_hashes, whole_text
 from palisade.llm.components import components
 from palisade.session import materialize
@@ -141,28 +142,20 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(whole_text(column))
 
 
-def _sets(texts: list[str]) -> list[np.ndarray]:
-    return [np.unique(shingle_hashes(t)) for t in texts]
-
-
 def banded(docs: DataFrame) -> DataFrame:
     """``key`` and ``bands`` for every row with a word."""
-    @F.pandas_udf("array<long>")
-    def keys(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in columns:
-            out: list[np.ndarray | None] = [None] * len(column)
-            sets, places = [], []
-            for k, text in enumerate(column):
-                own = shingle_hashes(text)
-                if len(own):
-                    sets.append(own)
-                    places.append(k)
-            if sets:
-                for k, row in zip(places, bands(minhashes(sets))):
-                    out[k] = row
-            yield pd.Series(out, dtype=object)
-
-    return docs.select(text_key().alias("key"), keys(whole_text()).alias("bands"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keys, texts = frame["key"].to_numpy(), frame["text"].tolist()
+            for part in batches(texts):
+                sets = [shingle_hashes(t) for t in texts[part]]
+                full = [k for k, s in enumerate(sets) if len(s)]
+                if full:
+                    rows = bands(minhashes([sets[k] for k in full]))
+                    yield pd.DataFrame({"key": keys[part][full], "bands": list(rows)})
+
+    return docs.select(text_key().alias("key"), whole_text().alias("text")).mapInPandas(
+        run, "key long, bands array<long>")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -171,8 +164,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     A band's smallest text is found before rows are moved; every text of the band is then linked
     to it, and connected texts form a group.
     """
-    rows = banded(docs).where(F.col("bands").isNotNull())
-    rows = materialize(rows, "bands")
+    rows = materialize(banded(docs), "bands")
     each = rows.select("key", F.explode("bands").alias("band"))
     meeting = each.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     meeting = meeting.where(F.col("low") != F.col("high")).select("band", "low")
@@ -189,14 +181,18 @@ def links(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     groups = grouped(docs)
     texts = docs.select(text_key().alias("key"), whole_text().alias("text"))
 
-    @F.pandas_udf("array<long>")
-    def shingles(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in columns:
-            yield pd.Series([s.view(np.int64) for s in _sets(column.tolist())], dtype=object)
+    def shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame["text"].tolist()
+            for part in batches(texts):
+                rows = frame.iloc[part]
+                yield pd.DataFrame({"key": rows["key"], "grp": rows["grp"], "shingles": [
+                    np.unique(shingle_hashes(t)).view(np.int64) for t in texts[part]]})
 
     members = texts.join(groups, "key")
     members = members.groupBy("key", "grp").agg(F.first("text").alias("text"))
-    members = materialize(members.select("key", "grp", shingles("text").alias("shingles")), "sets")
+    members = materialize(members.mapInPandas(
+        shingles, "key long, grp long, shingles array<long>"), "sets")
     sizes = members.groupBy("grp").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_TEXTS),
                    F.ceil(F.sum(F.size("shingles")) / CHUNK_SHINGLES)).cast("int").alias("chunks"))

@@ -243,7 +243,8 @@ def fitted(docs: DataFrame, labels: DataFrame):
         (F.max("toxic") > 0).cast("int").alias("toxic")).withColumn("fold", fold(F.col("doc_id")))
     labels = labels.where("fold <> 1")
     texts = texts_of(docs).where(fold(F.col("doc_id")) != 1)
-    counts = materialize(counted(texts.join(labels, "doc_id").select("text", "fold", "toxic")),
+    # Labels grow with the corpus, so both sides are dealt by id at every size.
+    counts = materialize(counted(texts.join(labels.hint("merge"), "doc_id").select("text", "fold", "toxic")),
                          "strings")
     whole, part = model_of(counts, (0, 2)), model_of(counts, (0,))
     if whole is None:

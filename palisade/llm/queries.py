@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, fingerprints, jaccard_join, packing, pii, quality_rules, toxicity, url_filters
+from palisade.llm import bpe, fingerprints, jaccard_join, packing, pii, quality_classifier, quality_rules, toxicity, url_filters
 from palisade.llm.common import table
 
 #: Places of the vocabulary files, which every machine has.
@@ -33,6 +33,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, fingerprints, jaccard_join, packing, pii, quality_classifier, quality_rules, toxicity, url_filters
+from palisade.llm import bpe, fingerprints, jaccard_join, licenses, packing, pii, quality_classifier, quality_rules, toxicity, url_filters
 from palisade.llm.common import table
 
 #: Places of the vocabulary files, which every machine has.
@@ -58,6 +58,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scanned(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), BYTE_BPE)

@@ -168,7 +168,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     each = rows.select("key", F.explode("bands").alias("band"))
     meeting = each.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     meeting = meeting.where(F.col("low") != F.col("high")).select("band", "low")
-    links = each.join(meeting, "band").where(F.col("key") != F.col("low"))
+    # Both joins are of tables that grow alike, so they are merged at every size.
+    links = each.join(meeting.hint("merge"), "band").where(F.col("key") != F.col("low"))
     groups = components(links.select(F.col("key").alias("a"), F.col("low").alias("b")).distinct())
     return groups.select(F.col("node").alias("key"), F.col("component").alias("grp"))
 
@@ -189,7 +190,7 @@ def links(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
                 yield pd.DataFrame({"key": rows["key"], "grp": rows["grp"], "shingles": [
                     np.unique(shingle_hashes(t)).view(np.int64) for t in texts[part]]})
 
-    members = texts.join(groups, "key")
+    members = texts.join(groups.hint("merge"), "key")
     members = members.groupBy("key", "grp").agg(F.first("text").alias("text"))
     members = materialize(members.mapInPandas(
         shingles, "key long, grp long, shingles array<long>"), "sets")

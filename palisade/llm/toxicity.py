@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.bpe import MEMORY_CHARS, MEMORY_WORDS
+from palisade.llm.bpe import MEMORY_CHARS, MEMORY_WORDS, batches
 from palisade.llm.common import whole_text
 from palisade.session import materialize
 
@@ -47,6 +47,8 @@ THRESHOLD = 0.7
 #: A word's ratio from which it counts by itself.
 TELLING = 2.5
 FOLDS = 3
+#: Words that a task counts before it takes them apart.
+FLUSH_WORDS = 100_000
 MEASURES = ["mean", "told", "share", "length"]
 
 
@@ -109,7 +111,7 @@ def counted(rows: DataFrame) -> DataFrame:
                 place = (2 if f == 2 else 0) + int(toxic)
                 for w in set(words_in(text)):  # repeats in one text tell nothing more
                     words.setdefault(w, [0, 0, 0, 0])[place] += 1
-                if len(words) > 500_000:
+                if len(words) > FLUSH_WORDS:
                     yield flush(words)
                     words = {}
         if words:
@@ -185,6 +187,11 @@ class Reader:
         self.seen: dict[str, float] = {}
 
     def measures(self, texts: list[str]) -> np.ndarray:
+        """Measures of the texts, worked on in parts of bounded size."""
+        return np.concatenate([np.zeros((0, len(MEASURES))),
+                               *[self._part(texts[part]) for part in batches(texts)]])
+
+    def _part(self, texts: list[str]) -> np.ndarray:
         """Per text: the ratio divided by the words; the telling words' ratios in all, and
         divided by the different words; the logarithm of the number of words."""
         seen = self.seen
@@ -244,8 +251,8 @@ def fitted(docs: DataFrame, labels: DataFrame):
     labels = labels.where("fold <> 1")
     texts = texts_of(docs).where(fold(F.col("doc_id")) != 1)
     # Labels grow with the corpus, so both sides are dealt by id at every size.
-    counts = materialize(counted(texts.join(labels.hint("merge"), "doc_id").select("text", "fold", "toxic")),
-                         "strings")
+    learned = texts.join(labels.hint("merge"), "doc_id").select("text", "fold", "toxic")
+    counts = materialize(counted(learned), "strings")
     whole, part = model_of(counts, (0, 2)), model_of(counts, (0,))
     if whole is None:
         return None

@@ -47,19 +47,21 @@ def _repeated(sorted_windows: Column, width: int) -> Column:
         p.cast("long").alias("last")), lambda a: a["n"])
 
 
-def measures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id``, ``host`` and the measures of every whole text.
+def measures(docs: DataFrame, carry: Column | None = None,
+             width: int = SHINGLE_WORDS) -> DataFrame:
+    """``doc_id``, ``host``, the measures of every whole text, and ``carry`` as ``row``.
 
     Windows are compared by 64-bit hashes within one text; arrays stay inside their row, so no
     shuffle is needed.
     """
+    row = [] if carry is None else ["row"]
     rows = docs.select("doc_id", F.col("source").cast("string").alias("host"),
-                       whole_text().alias("text"))
+                       whole_text().alias("text"), *[carry.alias(r) for r in row])
     rows = rows.withColumn("words", words_of(F.col("text")))
     rows = rows.withColumn("lines", F.filter(
         F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     rows = rows.select(
-        "doc_id", "host",
+        "doc_id", "host", *row,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
@@ -74,7 +76,7 @@ def measures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
         F.size(F.array_distinct("windows")) < F.size("windows"),
         F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     return rows.select(
-        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+        "doc_id", "host", *row, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
         F.coalesce(_repeated(F.col("sorted"), width), F.lit(0).cast("long"))
         .alias("n_repeat_words"))
 
@@ -126,24 +128,47 @@ def _prior(docs: int, hosts: int, failed: int, squares: float) -> tuple[float, f
     return mean, docs / hosts
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Measures, rule failures, host verdict and ``kept`` of every document.
+def _with_failures(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f"fail_{r}": F.coalesce(c, F.lit(False))
+                             for r, c in failures().items()})
+
+
+def _with_verdicts(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """``rows`` with the verdicts of their hosts, which ``counted`` gives.
 
-    The measures are written to the shared folder once (a few numbers per document), then read
-    for the hosts and for the join back; hosts are joined by their name, and a hot host is cut by
-    the adaptive skew join because the hosts' side has one row for it.
+    A hot host is cut by the adaptive skew join, because the hosts' side has one row for it.
     """
-    rows = measures(docs)
-    rows = materialize(rows.withColumns({f"fail_{r}": F.coalesce(c, F.lit(False))
-                                         for r, c in failures().items()}), "rules")
-    hosts = host_rates(rows).select(
+    hosts = host_rates(counted).select(
         F.col("host").alias("h"),
         (F.greatest(*[F.col(f"rate_{r}") for r in RULES]) >= BLOCK_RATE).alias("host_blocked"),
         *[(F.col(f"rate_{r}") >= FORGIVE_RATE).alias(f"held_{r}") for r in RULES])
-    joined = rows.join(hosts, rows["host"].eqNullSafe(hosts["h"]))
     base = F.col("fail_short") | F.col("fail_repeats")
     strict = F.greatest(*[F.col(f"fail_{r}") & F.col(f"held_{r}") for r in RULES])
-    return joined.select(
+    return rows.join(hosts, rows["host"].eqNullSafe(hosts["h"])).withColumns({
+        "base_failed": base, "kept": ~base & ~F.col("host_blocked") & ~strict})
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """Measures, host verdict and ``kept`` of every document.
+
+    The measures, a few numbers per document, are written to the shared folder once, then read
+    for the hosts and for the join back.
+    """
+    rows = materialize(_with_failures(measures(docs)), "rules")
+    return _with_verdicts(rows, rows).select(
         "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), "host_blocked",
-        (~base & ~F.col("host_blocked") & ~strict).alias("kept"))
+        "base_failed", "host_blocked", "kept")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    Texts are measured again beside their row, so that they need not be moved to meet their
+    measures. The row's number keeps the optimizer from pushing the verdict below the measures,
+    where it would have to work them out anew for every use.
+    """
+    counted = _with_failures(measures(docs)).select("host", *[f"fail_{r}" for r in RULES])
+    rows = _with_failures(measures(docs, F.struct(*[docs[c] for c in docs.columns])))
+    rows = rows.withColumn("number", F.monotonically_increasing_id())
+    return _with_verdicts(rows, counted).where(
+        F.col("kept") & (F.col("number") >= 0)).select("row.*")

@@ -183,11 +183,11 @@ def matches(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple]:
             n, a, b = aligned(template, [w for _, _, w in own], band)
             if n < coverage * len(template):
                 break
-            found.append((n / len(template), own[a][0], own[b][1], index.names[k]))
+            found.append((n, n / len(template), own[a][0], own[b][1], index.names[k]))
             own = own[b + 1:]
-    found.sort(key=lambda m: (-m[0], m[1] - m[2], m[3], m[1]))
+    found.sort(key=lambda m: (-m[0], -m[1], m[4], m[2]))
     kept: list[tuple] = []
-    for cover, a, b, name in found:
+    for _, cover, a, b, name in found:
         if all(b <= c or a >= d for c, d, _, _ in kept):
             kept.append((a, b, name, cover))
     return [(len(raw[:a].decode()), len(raw[:b].decode()), name, cover)

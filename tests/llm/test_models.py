@@ -42,8 +42,8 @@ def test_base_spans_equal_plain_patterns():
 
 
 def test_base_spans_are_linear():
-    assert pii.base_spans("a" * 200_000 + "@ " + "1" * 200_000 + " " + "1." * 100_000 + "x") \
-        == []
+    text = "a" * 200_000 + "@ " + "1" * 200_000 + " " + "1." * 100_000 + "x"
+    assert [s[2] for s in pii.base_spans(text)] == ["ip"] * 25_000
 
 
 def test_tagger_gradient():
@@ -215,6 +215,9 @@ def test_licences_against_full_alignment():
             own = template.split()
             for place in rng.choice(len(own), edits, replace=False):
                 own[place] = "EDITED"
+            runs = " ".join(own).split("EDITED")
+            if max(len(licenses.letters(r)[0]) for r in runs) < licenses.K + licenses.W - 1:
+                continue  # shorter runs need not be found
             before, after = PROSE * 2, " " + PROSE
             text = "é " + before + " ".join(own) + after
             a = licenses._WORD.findall(template.lower())
@@ -225,8 +228,6 @@ def test_licences_against_full_alignment():
                     best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j],
                                              best[i, j] + 1 if w == v else 0)
             found = [m for m in licenses.matches(text, index) if m[2] == name]
-            if edits and edits > len(own) // 10:
-                continue
             (start, end, _, coverage), = found
             assert abs(coverage * len(a) - best[-1, -1]) <= 2
             inside = text[start:end]

@@ -2,7 +2,9 @@
 
 Each order statistic is bracketed by a histogram; the bin that holds it becomes the next
 bracket, bounded by the smallest and largest value seen in it. Ties collapse to a bracket of
-one value, so a value shared by any number of rows ends the search.
+one value, so a value shared by any number of rows ends the search. There is one way for all
+sizes. Infinities are counted apart and rank below or above all numbers; NaN is no number and is
+left out, like null.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 4096
-BUILT_IN_ROWS = 1_000_000  # up to here the built-in aggregate is one cheap pass
 
 
 @dataclass
@@ -40,8 +41,7 @@ def _positions(count: int, prob: float, method: str) -> tuple[int, int, float]:
 
 
 def exact_quantiles(values: DataFrame, probs: dict[str, list[float]],
-                    method: str = "linear",
-                    built_in_rows: int = BUILT_IN_ROWS) -> dict[str, list[float]]:
+                    method: str = "linear") -> dict[str, list[float]]:
     """Quantiles of ``x`` (double) per ``name``; both columns are given by ``values``.
 
     A ``weight`` column counts a row several times. ``linear`` interpolates; ``lower`` takes
@@ -49,17 +49,16 @@ def exact_quantiles(values: DataFrame, probs: dict[str, list[float]],
     fixed size reach the driver.
     """
     weight: Column = F.col("weight") if "weight" in values.columns else F.lit(1)
-    values = values.where(F.col("x").isNotNull())
+    values = values.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    copies = weight.cast("bigint")
+    infinite = F.col("x").isin(math.inf, -math.inf)
     spans = {r["name"]: r for r in values.groupBy("name").agg(
-        F.min("x").alias("low"), F.max("x").alias("high"),
-        F.sum(weight.cast("bigint")).alias("n")).collect()}
-
-    if method == "linear" and max((r["n"] for r in spans.values()), default=0) <= built_in_rows:
-        listed = sorted({p for name in probs for p in probs[name]})
-        rows = values.groupBy("name").agg(
-            F.percentile("x", listed, weight.cast("bigint")).alias("q")).collect()
-        found = {r["name"]: dict(zip(listed, r["q"])) for r in rows}
-        return {n: [found[n][p] for p in probs[n]] for n in probs if n in found}
+        F.min(F.when(~infinite, F.col("x"))).alias("low"),
+        F.max(F.when(~infinite, F.col("x"))).alias("high"),
+        F.coalesce(F.sum(F.when(F.col("x") == -math.inf, copies)), F.lit(0)).alias("below"),
+        F.coalesce(F.sum(F.when(~infinite, copies)), F.lit(0)).alias("finite"),
+        F.sum(copies).alias("n")).collect()}
+    values = values.where(~infinite)
 
     searches: dict[tuple[str, int], _Search] = {}
     wanted = {}
@@ -68,7 +67,7 @@ def exact_quantiles(values: DataFrame, probs: dict[str, list[float]],
             low, high, part = _positions(span["n"], prob, method)
             wanted[name, prob] = (low, high, part)
             for rank in (low, high) if part else (low,):
-                searches[name, rank] = _Search(name, rank, span["low"], span["high"])
+                searches[name, rank] = _search(name, rank, span)
 
     while open_ones := [s for s in searches.values() if not s.done]:
         _narrow(values, weight, open_ones)
@@ -76,20 +75,31 @@ def exact_quantiles(values: DataFrame, probs: dict[str, list[float]],
     def value(name: str, prob: float) -> float:
         low, high, part = wanted[name, prob]
         bottom = searches[name, low].low
-        if not part:
-            return bottom
-        return bottom + (searches[name, high].low - bottom) * part
+        top = searches[name, high].low if part else bottom
+        return bottom if bottom == top else bottom + (top - bottom) * part
 
     return {n: [value(n, p) for p in probs[n]] for n in probs if n in spans}
 
 
+def _search(name: str, rank: int, span) -> _Search:
+    """A search among the finite values, or one that an infinity ends at once."""
+    inside = rank - span["below"]
+    if inside < 0:
+        return _Search(name, inside, -math.inf, -math.inf)
+    if inside >= span["finite"]:
+        return _Search(name, inside, math.inf, math.inf)
+    return _Search(name, inside, span["low"], span["high"])
+
+
 def _narrow(values: DataFrame, weight: Column, searches: list[_Search]) -> None:
     spark = values.sparkSession
     table = spark.createDataFrame(
         [(i, s.name, s.low, s.high) for i, s in enumerate(searches)],
         "search int, name string, low double, high double")
     width = F.col("high") / BINS - F.col("low") / BINS
-    position = F.when(width > 0, (F.col("x") - F.col("low")) / width).otherwise(F.lit(0.0))
+    # In a bracket too narrow to cut, the lowest value is parted from the others.
+    position = F.when(width > 0, F.col("x") / width - F.col("low") / width).otherwise(
+        F.when(F.col("x") > F.col("low"), 1.0).otherwise(0.0))
     bins = (
         values.withColumn("_w", weight.cast("bigint"))
         .join(F.broadcast(table), "name")   # a handful of searches

@@ -17,10 +17,10 @@ def long_form(rows: DataFrame, names: list[str]) -> DataFrame:
         F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("x")) for n in names])))
 
 
-def robust_stats(rows: DataFrame, names: list[str] | None = None, **options) -> DataFrame:
+def robust_stats(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
     """``feature, q1, center, q3, scale``; a zero range scales by 1."""
     names = names or C.FLOW_FEATURES
-    found = exact_quantiles(long_form(rows, names), {n: QUARTILES for n in names}, **options)
+    found = exact_quantiles(long_form(rows, names), {n: QUARTILES for n in names})
     out = [(n, q1, mid, q3, (q3 - q1) or 1.0)
            for n, (q1, mid, q3) in ((n, found[n]) for n in names)]
     return rows.sparkSession.createDataFrame(

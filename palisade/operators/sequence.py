@@ -94,6 +94,14 @@ def dataset_rank(dataset: Column, names: list[str] | None = None) -> Column:
 
 
 def chain(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """One running order over all datasets: dataset by dataset, row by row."""
+    """One running order over all datasets: dataset by dataset, row by row.
+
+    A dataset that is not listed, or one with too many rows for its share of the numbers, ends
+    the run with an error.
+    """
     ordinal = dataset_rank(F.col("dataset"), names)
-    return rows.withColumn("seq", ordinal * F.lit(DATASET_SHIFT) + F.col("seq"))
+    fits = (ordinal >= 0) & (F.col("seq") >= 0) & (F.col("seq") < DATASET_SHIFT)
+    place = F.when(fits, ordinal * F.lit(DATASET_SHIFT) + F.col("seq")).otherwise(F.raise_error(
+        F.concat(F.lit("no place in the order for row "), F.col("seq").cast("string"),
+                 F.lit(" of "), F.col("dataset"))).cast("bigint"))
+    return rows.withColumn("seq", place)

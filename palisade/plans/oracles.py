@@ -6,7 +6,6 @@ from palisade import constants as C
 from palisade.plans import adapters as A
 
 BASE = "TIMESTAMP '2026-01-01 00:00:00'"
-INJECT_START = 1_000_000_000
 
 
 def _q(value: str) -> str:
@@ -183,7 +182,7 @@ def _injected(datasets: list[str]) -> str:
                 rows.append(f"({_q(name)}, {_q(ip)}, {_q(payload)}, {_q(act)})")
                 break
     return f"""injected AS (
-  SELECT dataset, src_ip, payload, act, {INJECT_START} + i AS seq
+  SELECT dataset, src_ip, payload, act, (SELECT max(seq) + 1 FROM frames) + i AS seq
   FROM (VALUES {', '.join(rows)}) AS t(dataset, src_ip, payload, act),
     range({C.INJECTED_PER_DATASET}) AS r(i))"""
 
@@ -501,12 +500,14 @@ SQL["stream_fusion_60s"] = SQL["fusion_alerts_60s"] + " WHERE base > 0"
 SQL["stream_normalize"] = (
     "WITH parsed AS (" + SQL["parse_snapshot_line"] + ") "
     "SELECT source, state, count(*) AS n FROM parsed GROUP BY source, state")
-SQL["stream_seeded_changes"] = _with(SNAPSHOTS) + """, firsts AS (
-  SELECT min(seq) AS seq, uid, state FROM states GROUP BY uid, state),
+SQL["stream_seeded_changes"] = _with(SNAPSHOTS) + """, cut AS (
+  SELECT max(seq) // 2 AS border FROM states),
+firsts AS (
+  SELECT min(seq) AS seq, uid, state FROM states, cut WHERE seq < border GROUP BY uid, state),
 seed AS (SELECT uid, state AS known FROM firsts
   QUALIFY row_number() OVER (PARTITION BY uid ORDER BY seq DESC) = 1)
 SELECT seq, uid, state FROM (
   SELECT s.seq, s.uid, s.state, d.known,
     lag(s.state) OVER (PARTITION BY s.uid ORDER BY s.seq) AS old
-  FROM states s LEFT JOIN seed d ON s.uid = d.uid)
+  FROM (SELECT states.* FROM states, cut WHERE seq >= border) s LEFT JOIN seed d ON s.uid = d.uid)
 WHERE state IS DISTINCT FROM coalesce(old, known)"""

@@ -486,13 +486,18 @@ EVENT_DATASETS = [
     "Friday-WorkingHours-Afternoon-DDos.pcap_ISCX", "Apache_2k.log_structured",
     "OpenSSH_2k.log_structured", "Linux_2k.log_structured", "Windows_2k.log_structured",
 ]
-INJECT_START = 1_000_000_000
+
+
+def _inject_start(frames: DataFrame) -> int:
+    """The first number after those of the frames."""
+    return (frames.agg(F.max("seq")).first()[0] or 0) + 1
 
 
 def evaluation_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample, injected attacks, random order, one running position over all datasets."""
-    sampled = sequence.sample_per_dataset(A.event_frames(spark, sf_dir).drop("ts"))
-    mixed = synth.inject(sampled, EVENT_DATASETS, INJECT_START)
+    frames = A.event_frames(spark, sf_dir)
+    sampled = sequence.sample_per_dataset(frames.drop("ts"))
+    mixed = synth.inject(sampled, EVENT_DATASETS, _inject_start(frames))
     judged = normalize.with_defaults(mixed).withColumns({
         "base": F.coalesce("base", F.lit(1.0)),
         "ts": times.parsed_ts(F.coalesce("ts", F.lit("")), _base())})
@@ -561,7 +566,7 @@ def dataset_order(spark, sf_dir):
 @query
 def inject_threats(spark, sf_dir):
     frames = A.event_frames(spark, sf_dir).select("dataset", "src_ip", "payload", "act", "seq")
-    mixed = synth.inject(frames, EVENT_DATASETS, INJECT_START)
+    mixed = synth.inject(frames, EVENT_DATASETS, _inject_start(frames))
     return mixed.select("dataset", "src_ip", "payload", "act", "seq", "ts")
 
 
@@ -611,7 +616,7 @@ def score_threshold(spark, sf_dir):
         F.col("l_returnflag").alias("name"), F.col("l_extendedprice").alias("x"))
     names = ["A", "N", "R"]
     found = quantiles.exact_quantiles(
-        rows, {n: [C.FOREST_CONTAMINATION, 0.01] for n in names}, built_in_rows=0)
+        rows, {n: [C.FOREST_CONTAMINATION, 0.01] for n in names})
     return spark.createDataFrame(
         [(n, *found[n]) for n in names],
         "name string, at_contamination double, at_nu double")
@@ -734,7 +739,8 @@ def learned_evaluation(spark, sf_dir):
     models = pipeline.Models(trained(spark, sf_dir, "flow").flow,
                              trained(spark, sf_dir, "text").text)
     frames = A.event_frames(spark, sf_dir).drop("base")
-    return _rounded(pipeline.evaluation(frames, EVENT_DATASETS, models, INJECT_START))
+    return _rounded(pipeline.evaluation(
+        frames, EVENT_DATASETS, models, _inject_start(frames)))
 
 
 # --- streams -------------------------------------------------------------------------------------
@@ -743,20 +749,34 @@ STREAM_FILES = 4
 
 
 def _files_in_order(rows: DataFrame, name: str, key: str = "seq") -> str:
-    """Rows as a few parquet files, one key range each, for a file stream to pick up."""
+    """Rows as parquet folders' files, one key range after the other, each range a batch.
+
+    A file stream takes files by age, so ranges are written in turn; a range is one file, which
+    a stream reads as one batch.
+    """
     path = session.scratch_path(rows.sparkSession, name)
-    rows.repartitionByRange(STREAM_FILES, key).write.parquet(path)
+    cuts = rows.approxQuantile(key, [k / STREAM_FILES for k in range(1, STREAM_FILES)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.where(F.col(key) >= low)
+        part = part if high is None else part.where(F.col(key) < high)
+        part.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def _run_stream(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Runs a stream over what is there and returns what it wrote."""
+def _run_stream(stream: DataFrame, spark: SparkSession, name: str, batches: int = 0) -> DataFrame:
+    """Runs a stream over what is there and returns what it wrote.
+
+    Fewer batches with rows than ``batches`` are an error: state would not have been carried.
+    """
     path, mark = session.scratch_path(spark, name), session.scratch_path(spark, "mark")
     run = (
         stream.writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", mark).trigger(availableNow=True).start()
     )
     run.awaitTermination()
+    full = sum(p["numInputRows"] > 0 for p in run.recentProgress)
+    if full < batches:
+        raise RuntimeError(f"{name} ran in {full} batches")
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -785,22 +805,25 @@ def stream_state_changes(spark, sf_dir):
     path = _files_in_order(A.snapshots(spark, sf_dir), "snapshots")
     own = stream_snapshots.stateful_session(spark)
     rows = own.readStream.schema(spark.read.parquet(path).schema).option(
-        "maxFilesPerTrigger", STREAM_FILES).parquet(path)
-    return _run_stream(stream_snapshots.changes(rows), spark, "changes").select(
+        "maxFilesPerTrigger", 1).parquet(path)
+    return _run_stream(stream_snapshots.changes(rows), spark, "changes", 3).select(
         "seq", "uid", "state")
 
 
 @query
 def stream_seeded_changes(spark, sf_dir):
-    """Starts from the states an earlier run left: the distinct states of the whole table."""
-    seed = session.materialize(snapshots.last_states(
-        snapshots.distinct_states(A.snapshots(spark, sf_dir))), "seed")
-    path = _files_in_order(A.snapshots(spark, sf_dir), "snapshots")
+    """Starts from the states that an earlier run left and reads only the rows after it."""
+    rows = A.snapshots(spark, sf_dir)
+    cut = (rows.agg(F.max("seq")).first()[0] or 0) // 2
+    earlier, later = rows.where(F.col("seq") < cut), rows.where(F.col("seq") >= cut)
+    seed = session.materialize(
+        snapshots.last_states(snapshots.distinct_states(earlier)), "seed")
+    path = _files_in_order(later, "snapshots")
     own = stream_snapshots.stateful_session(spark)
     rows = own.readStream.schema(spark.read.parquet(path).schema).option(
-        "maxFilesPerTrigger", STREAM_FILES).parquet(path)
+        "maxFilesPerTrigger", 1).parquet(path)
     known = own.read.schema(seed.schema).parquet(*seed.inputFiles())
-    return _run_stream(stream_snapshots.changes(rows, known), spark, "changes").select(
+    return _run_stream(stream_snapshots.changes(rows, known), spark, "changes", 3).select(
         "seq", "uid", "state")
 
 
@@ -809,8 +832,8 @@ def stream_fusion(spark, sf_dir):
     path = _files_in_order(_scored(spark, sf_dir), "scored")
     own = stream_snapshots.stateful_session(spark)
     rows = own.readStream.schema(spark.read.parquet(path).schema).option(
-        "maxFilesPerTrigger", STREAM_FILES).parquet(path)
-    return _run_stream(stream_fusion_rows.ledger(rows), spark, "ledger")
+        "maxFilesPerTrigger", 1).parquet(path)
+    return _run_stream(stream_fusion_rows.ledger(rows), spark, "ledger", 3)
 
 
 @query
@@ -819,5 +842,5 @@ def stream_fusion_60s(spark, sf_dir):
     path = _files_in_order(timed, "scored")
     own = stream_snapshots.stateful_session(spark)
     rows = own.readStream.schema(spark.read.parquet(path).schema).option(
-        "maxFilesPerTrigger", STREAM_FILES).parquet(path)
-    return _run_stream(stream_fusion_rows.recent_ledger(rows), spark, "ledger")
+        "maxFilesPerTrigger", 1).parquet(path)
+    return _run_stream(stream_fusion_rows.recent_ledger(rows), spark, "ledger", 3)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade import schema
 from palisade.operators import normalize, sequence
@@ -14,22 +15,26 @@ def _in_file_order(raw: DataFrame, dataset: str) -> DataFrame:
     return sequence.with_file_order(raw.withColumn("dataset", F.lit(dataset)))
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; a quote inside a quoted cell is doubled."""
-    return (
-        spark.read.option("header", True).option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", True).csv(path)
-    )
+def _csv(spark: SparkSession, path: str, trimmed: bool) -> DataFrame:
+    """All columns as text; a quote inside a quoted cell is doubled.
+
+    The columns are those of the first file. A file whose header has others, or the same in
+    another order, ends the read with an error instead of mixing up columns.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", trimmed)
+    names = reader.csv(path).schema
+    return reader.schema(names).option("enforceSchema", False).csv(path)
 
 
 def flow_csv(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """The flow columns present in the file, with ``dataset`` and ``seq``."""
-    return normalize.keep_flow_columns(_in_file_order(_csv(spark, path), dataset))
+    return normalize.keep_flow_columns(_in_file_order(_csv(spark, path, True), dataset))
 
 
 def log_csv(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """A structured log: text columns as they are, with ``dataset`` and ``seq``."""
-    return _in_file_order(_csv(spark, path), dataset)
+    return _in_file_order(_csv(spark, path, False), dataset)
 
 
 def text_lines(spark: SparkSession, path: str, dataset: str) -> DataFrame:
@@ -37,18 +42,32 @@ def text_lines(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     return _in_file_order(spark.read.text(path), dataset)
 
 
+#: With options the optimizer leaves the schema whole, so that a record is judged by all of its
+#: fields whichever of them a query reads.
+_WHOLE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+
+
+def _records(lines: DataFrame, fields: T.StructType) -> DataFrame:
+    """The fields of the JSON records in ``value``; lines that do not parse are dropped."""
+    marked = T.StructType([*fields.fields, T.StructField("_corrupt_record", T.StringType())])
+    rows = lines.withColumn("_record", F.from_json("value", marked, _WHOLE))
+    kept = rows.where(F.col("_record").isNotNull() & F.col("_record._corrupt_record").isNull())
+    return kept.select(*[c for c in lines.columns if c != "value"],
+                       *[F.col(f"_record.{f.name}") for f in fields.fields])
+
+
 def frames_json(spark: SparkSession, path: str, array_documents: bool = False) -> DataFrame:
     """Stored frames. JSON lines can be split; one array per file cannot.
 
     Records that do not parse are dropped; for an array file that is the whole file.
     """
-    fields = schema.FRAME.add("_corrupt_record", "string")
-    rows = (
-        spark.read.schema(fields).option("mode", "PERMISSIVE")
-        .option("multiLine", array_documents).option("ignoreMissingFiles", True).json(path)
-    )
-    kept = rows.select("*", F.col("_metadata.file_path").alias("file"))
-    return kept.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    lines = spark.read.option("ignoreMissingFiles", True).option("wholetext", array_documents).text(
+        path).select(F.col("_metadata.file_path").alias("file"), "value")
+    if array_documents:
+        each = F.explode(F.from_json("value", T.ArrayType(T.VariantType()), _WHOLE))
+        lines = lines.select("file", F.to_json(each).alias("value"))
+    rows = _records(lines, schema.FRAME)
+    return rows.select(*[f.name for f in schema.FRAME.fields], "file")
 
 
 def frames_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -56,9 +75,20 @@ def frames_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshot_json(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot records as JSON lines; lines that do not parse are dropped."""
-    rows = spark.read.schema(schema.SNAPSHOT).option("mode", "DROPMALFORMED").json(path)
-    return _in_file_order(rows, "snapshots").drop("dataset")
+    """Snapshot records as JSON lines, ``seq`` being the line; broken lines are dropped."""
+    lines = _in_file_order(spark.read.text(path), "snapshots").drop("dataset")
+    return _records(lines, schema.SNAPSHOT)
+
+
+def unreadable(spark: SparkSession, entries: list[tuple[str, str, str, str]]) -> DataFrame | None:
+    """The flow rows that ``routed`` leaves out, for a quarantine table; None without flows."""
+    out = None
+    for dataset, kind, _, path in entries:
+        if kind == "flow":
+            rows = normalize.unreadable_flows(flow_csv(spark, path, dataset)).select(
+                "dataset", "seq", F.to_json(F.struct("*")).alias("record"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def routed(spark: SparkSession, entries: list[tuple[str, str, str, str]],

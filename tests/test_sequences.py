@@ -125,7 +125,7 @@ def test_quantiles_equal_the_built_in(spark, kind):
          "constant": F.lit(3.5), "two": F.when(F.col("id") % 3 == 0, 1.0).otherwise(1e300)}[kind]
     df = spark.range(4001).select(F.lit("n").alias("name"), x.alias("x")).cache()
     probs = [0.0, 0.007, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = quantiles.exact_quantiles(df, {"n": probs}, built_in_rows=0)["n"]
+    got = quantiles.exact_quantiles(df, {"n": probs})["n"]
     want = df.agg(F.percentile("x", probs)).first()[0]
     assert got == pytest.approx(want, rel=1e-12)
 

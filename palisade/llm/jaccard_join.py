@@ -190,8 +190,9 @@ def links(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
                 yield pd.DataFrame({"key": rows["key"], "grp": rows["grp"], "shingles": [
                     np.unique(shingle_hashes(t)).view(np.int64) for t in texts[part]]})
 
+    # Copies become one row per task before texts are moved.
+    texts = texts.groupBy("key").agg(F.first("text").alias("text"))
     members = texts.join(groups.hint("merge"), "key")
-    members = members.groupBy("key", "grp").agg(F.first("text").alias("text"))
     members = materialize(members.mapInPandas(
         shingles, "key long, grp long, shingles array<long>"), "sets")
     sizes = members.groupBy("grp").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from palisade import constants as C
 from palisade.plans import adapters as A
+from palisade.plans import fixed_forest
 
 BASE = "TIMESTAMP '2026-01-01 00:00:00'"
 
@@ -511,3 +512,12 @@ SELECT seq, uid, state FROM (
     lag(s.state) OVER (PARTITION BY s.uid ORDER BY s.seq) AS old
   FROM (SELECT states.* FROM states, cut WHERE seq >= border) s LEFT JOIN seed d ON s.uid = d.uid)
 WHERE state IS DISTINCT FROM coalesce(old, known)"""
+
+SQL["forest_fixed"] = fixed_forest.sql(FLOWS) + (
+    "SELECT seq, round(score, 9) AS score, prediction FROM explained")
+_SHAP = ", ".join(f"round(shap{i}, 9) AS shap{i}" for i in range(3))
+SQL["shapley_fixed"] = fixed_forest.sql(FLOWS) + (
+    f"SELECT seq, {_SHAP}, round(expected, 9) AS expected FROM explained WHERE prediction = -1")
+SQL["first_anomaly"] = fixed_forest.sql(FLOWS) + (
+    f"SELECT seq, dst_pt, b_in, b_out, round(score, 9) AS score, {_SHAP} FROM explained "
+    "WHERE prediction = -1 ORDER BY seq LIMIT 1")

@@ -11,11 +11,11 @@ from palisade import constants as C
 from palisade import session
 from palisade.functions import scoring, text, times
 from palisade.operators import (
-    correlate, evaluate, explain, fusion, normalize, ocsvm, quantiles, report, scaling, sequence,
-    snapshots, synth, tfidf,
+    correlate, evaluate, explain, forest, fusion, normalize, ocsvm, quantiles, report, scaling,
+    sequence, snapshots, synth, tfidf,
 )
 from palisade.plans import adapters as A
-from palisade.plans import pipeline
+from palisade.plans import fixed_forest, pipeline
 from palisade.sources import readers, sinks
 from palisade.streaming import fusion as stream_fusion_rows
 from palisade.streaming import snapshots as stream_snapshots
@@ -704,6 +704,42 @@ def shap_evidence(spark, sf_dir):
             "directions"))
 
 
+def _fixed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = forest.Forest(fixed_forest.nodes(), fixed_forest.SUBSAMPLE)
+    rows = forest.scored(A.flows(spark, sf_dir), trees, C.FLOW_FEATURES)
+    return forest.predicted(rows, fixed_forest.CUT)
+
+
+def _fixed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = forest.Forest(fixed_forest.nodes(), fixed_forest.SUBSAMPLE)
+    flagged = _fixed_scores(spark, sf_dir).where(F.col("prediction") == -1)
+    return explain.with_shapley(flagged, trees, C.FLOW_FEATURES)
+
+
+@query
+def forest_fixed(spark, sf_dir):
+    """Scores of a forest whose nodes are given."""
+    return _fixed_scores(spark, sf_dir).select("seq", F.round("score", 9).alias("score"),
+                                               "prediction")
+
+
+@query
+def shapley_fixed(spark, sf_dir):
+    """Shapley values of the flagged flows under that forest."""
+    return _fixed_evidence(spark, sf_dir).select(
+        "seq", *[F.round(F.get("shap", F.lit(i)), 9).alias(f"shap{i}") for i in range(3)],
+        F.round("expected", 9).alias("expected"))
+
+
+@query
+def first_anomaly(spark, sf_dir):
+    """The first flagged flow and its Shapley values; one row per task is moved."""
+    return _fixed_evidence(spark, sf_dir).agg(F.min_by(F.struct(
+        "seq", *C.FLOW_FEATURES, F.round("score", 9).alias("score"),
+        *[F.round(F.get("shap", F.lit(i)), 9).alias(f"shap{i}") for i in range(3)]), "seq")
+        .alias("first")).select("first.*")
+
+
 def _text_frames(spark: SparkSession, sf_dir: str, models) -> DataFrame:
     return normalize.route_to_models(
         normalize.enrich(A.event_frames(spark, sf_dir)), list(models))

@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 from palisade import constants as C
 
 NEEDED_HITS = C.REPEAT_LIMIT + 1
-NO_MATCH_SPREAD = 65_536
 
 
 def source_marks(frames: DataFrame) -> DataFrame:
@@ -70,7 +69,7 @@ def with_marks(frames: DataFrame, history: DataFrame | None = None) -> DataFrame
     """
     marks = source_marks(frames if history is None else history).withColumn(
         "mark_ip", F.concat(F.lit("="), "mark_ip"))
-    spread = F.concat(F.lit("?"), F.pmod(F.xxhash64("seq"), F.lit(NO_MATCH_SPREAD)))
+    spread = F.concat(F.lit("?"), F.col("seq").cast("string"))
     usable = F.col("src_ip").isNotNull() & (F.col("src_ip") != C.UNKNOWN_IP)
     named = F.concat(F.lit("="), "src_ip")
     keyed = frames.withColumn("_key", F.when(usable, named).otherwise(spread))
@@ -93,17 +92,21 @@ def with_bonus(frames: DataFrame, history: DataFrame | None = None) -> DataFrame
 def with_window_bonus(frames: DataFrame) -> DataFrame:
     """The same bonus as running sums over a window: one shuffle, but one task per source.
 
-    For data without hot sources; ``with_bonus`` is the default.
+    Frames of an unknown address have no history and get a key of their own. For data without
+    hot sources; ``with_bonus`` is the default.
     """
+    unknown = F.coalesce(F.col("src_ip") == C.UNKNOWN_IP, F.lit(False))
+    frames = frames.withColumn("_who", F.when(
+        unknown, F.concat(F.lit("?"), F.col("seq").cast("string"))).otherwise(F.col("src_ip")))
+
     def earlier(*keys: str) -> Column:
         w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(
             Window.unboundedPreceding, -1)
         return F.coalesce(F.sum("base").over(w), F.lit(0.0))
 
-    known = F.coalesce(F.col("src_ip") != C.UNKNOWN_IP, F.lit(True))
-    sums = frames.withColumns({"_all": earlier("src_ip"), "_same": earlier("src_ip", "tag")})
-    hit = known & ((F.col("_all") > F.col("_same")) | (F.col("_same") > C.REPEAT_LIMIT))
-    return sums.withColumn("bonus", bonus_of(hit)).drop("_all", "_same")
+    sums = frames.withColumns({"_all": earlier("_who"), "_same": earlier("_who", "tag")})
+    hit = ~unknown & ((F.col("_all") > F.col("_same")) | (F.col("_same") > C.REPEAT_LIMIT))
+    return sums.withColumn("bonus", bonus_of(hit)).drop("_all", "_same", "_who")
 
 
 def with_recent_bonus(frames: DataFrame, at: str = "at", span: int = C.CORRELATION_SECONDS,
@@ -118,7 +121,7 @@ def with_recent_bonus(frames: DataFrame, at: str = "at", span: int = C.CORRELATI
     block = block or span
     reach = -(-span // block)
     usable = F.col("src_ip").isNotNull() & (F.col("src_ip") != C.UNKNOWN_IP)
-    spread = F.concat(F.lit("?"), F.pmod(F.xxhash64("seq"), F.lit(NO_MATCH_SPREAD)))
+    spread = F.concat(F.lit("?"), F.col("seq").cast("string"))
     base = frames.withColumns({
         "_key": F.when(usable, F.col("src_ip")).otherwise(spread),
         "_block": F.floor(F.col(at) / F.lit(block)).cast("bigint"),

@@ -64,8 +64,8 @@ def frames_json(spark: SparkSession, path: str, array_documents: bool = False) -
     lines = spark.read.option("ignoreMissingFiles", True).option("wholetext", array_documents).text(
         path).select(F.col("_metadata.file_path").alias("file"), "value")
     if array_documents:
-        each = F.explode(F.from_json("value", T.ArrayType(T.VariantType()), _WHOLE))
-        lines = lines.select("file", F.to_json(each).alias("value"))
+        each = F.from_json("value", T.ArrayType(T.VariantType()), _WHOLE)
+        lines = lines.select("file", F.explode(F.transform(each, lambda v: F.to_json(v))).alias("value"))
     rows = _records(lines, schema.FRAME)
     return rows.select(*[f.name for f in schema.FRAME.fields], "file")
 

@@ -153,3 +153,25 @@ def test_every_z_is_removed(spark):
     df = spark.createDataFrame([("2026-04-30ZT12:00:00ZZ",)], "t string")
     got = df.select(times.parsed_ts(F.col("t"), F.lit(None).cast("timestamp_ntz"))).first()[0]
     assert str(got) == "2026-04-30 12:00:00"
+
+
+@pytest.mark.parametrize("values", [
+    [1.0, float("nan"), 3.0, 2.0], [float("inf"), 1.0, 2.0], [float("-inf"), 5.0, float("inf")],
+    [5e-324, 1e-323, 0.0, 1.5e-323], [float("inf")] * 3, [-1.7e308, 1.7e308, 0.0]])
+def test_quantiles_of_odd_numbers(spark, values):
+    df = spark.createDataFrame([("n", v) for v in values], "name string, x double")
+    got = quantiles.exact_quantiles(df, {"n": [0.0, 0.5, 1.0]})["n"]
+    kept = sorted(v for v in values if v == v)
+    middle = (kept[(len(kept) - 1) // 2], kept[len(kept) // 2])
+    want = [kept[0], middle[0] if middle[0] == middle[1] else sum(middle) / 2, kept[-1]]
+    assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_chain_takes_large_numbers_and_refuses_what_has_no_place(spark):
+    df = spark.createDataFrame([("a", 2_000_000_000), ("b", 5)], "dataset string, seq bigint")
+    rows = {r["dataset"]: r["seq"] for r in sequence.chain(df, ["a", "b"]).collect()}
+    assert rows == {"a": 2_000_000_000, "b": sequence.DATASET_SHIFT + 5}
+    for names, bad in ((["a"], df), (["a", "b"], df.withColumn(
+            "seq", F.lit(sequence.DATASET_SHIFT)))):
+        with pytest.raises(Exception, match="no place in the order"):
+            sequence.chain(bad, names).collect()

@@ -3,6 +3,7 @@
 import bz2
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from palisade import constants as C
@@ -55,6 +56,42 @@ def test_array_documents_and_broken_files(spark, tmp_path):
     assert sorted(r["evt_id"] for r in rows) == ["1000", "E7"]
 
 
+@pytest.mark.parametrize("again", [0, 1])
+def test_records_are_judged_whole(spark, tmp_path, again):
+    """Counts, narrow and full reads agree, also on the second read of a session."""
+    file = tmp_path / "frames.json"
+    file.write_text('{"src_ip": "1.1.1.1", "b_in": 5}\n{"src_ip": "2.2.2.2", "b_in": "no number"}\n'
+                    '{"src_ip": \n\n')
+    rows = readers.frames_json(spark, str(file))
+    assert rows.count() == 1
+    assert [r["src_ip"] for r in rows.select("src_ip").collect()] == ["1.1.1.1"]
+    assert [r["b_in"] for r in rows.collect()] == [5]
+    file = tmp_path / "snapshots.json"
+    file.write_text('{"timestamp": "t", "source": "OS", "data": {"a": "b"}}\n'
+                    '{"timestamp": "t", "source": "OS", "data": 7}\nbroken\n')
+    rows = readers.snapshot_json(spark, str(file))
+    assert rows.count() == rows.select("source").count() == len(rows.collect()) == 1
+
+
+def test_other_column_order_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Destination Port,Label\n80,BENIGN\n")
+    (tmp_path / "b.csv").write_text("Label,Destination Port\nDDoS,443\n")
+    with pytest.raises(Exception, match="header"):
+        readers.flow_csv(spark, str(tmp_path), "d").collect()
+
+
+def test_logs_keep_leading_blanks(spark, tmp_path):
+    file = tmp_path / "log.csv"
+    file.write_text("Time,Content\n1,   two\n")
+    assert readers.log_csv(spark, str(file), "d").first()["Content"] == "   two"
+
+
+def test_unreadable_flows_are_listed(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Destination Port,Label\n80,BENIGN\nx,BENIGN\n")
+    rows = readers.unreadable(spark, [("a", "flow", "L3_L4", str(tmp_path / "a.csv"))]).collect()
+    assert [(r["dataset"], r["seq"]) for r in rows] == [("a", 1)]
+
+
 def test_missing_datasets_are_skipped_and_formats_united(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Destination Port,Label\n80,BENIGN\n")
     (tmp_path / "b.csv").write_text("Time,Content\n1,hello\n")

@@ -206,6 +206,15 @@ def test_components_of_chains_hubs_and_cycles(spark):
     assert got == {x: root(x) for x in linked}
 
 
+def test_components_of_long_chains_in_any_order(spark):
+    """Long chains whose names are shuffled, or in order, settle in few levels."""
+    names = np.random.default_rng(12).permutation(5001).tolist()
+    edges = list(zip(names, names[1:])) + [(k, k + 1) for k in range(10_000, 12_000)]
+    got = {r.node: r.component for r in components.components(
+        spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(5001), 0), **dict.fromkeys(range(10_000, 12_001), 10_000)}
+
+
 def test_licences_against_full_alignment():
     """Found matches cover what an unbanded alignment of the whole text covers."""
     rng = np.random.default_rng(10)

@@ -184,6 +184,32 @@ def test_url_rules_and_aliases(spark):
     assert url_filters.judged(pages(spark, []), rules).collect() == []
 
 
+def test_url_relative_targets(spark):
+    """Relative refreshes and canonical links lead to a blocked page as absolute ones do."""
+    to = {1: "new.html", 2: "../x", 3: "?id=2", 4: "./c/../../y", 5: "z.html", 6: "sub/?u=http://k.l/",
+          7: "../up", 8: "/r/./s/..", 9: "#top", 10: "mailto:a.b", 11: "http://e.org/?url=b"}
+    ends = {1: "one.org/a/new.html", 2: "two.org/x", 3: "three.org/p?id=2", 4: "four.org/a/y",
+            5: "other.org/d/z.html", 6: "six.org/sub/?u=http://k.l/", 7: "seven.org/b/up",
+            8: "eight.org/r/", 11: "e.org/?url=b"}
+    bases = {5: "<base href='http://other.org/d/'>", 7: '<BASE target="t" HREF="b/c/">'}
+    at = {1: "http://one.org/a/old.html", 2: "http://two.org/q/r", 3: "http://three.org/p?id=1",
+          4: "http://four.org/a/b/", 5: "http://five.org/p", 6: "https://six.org",
+          7: "http://seven.org/k", 8: "http://eight.org/k", 9: "http://nine.org/p?q=1",
+          10: "http://ten.org/p", 11: "http://eleven.org/p/b"}
+    rows = [(k, u, bases.get(k, "") + (canonical if k % 2 else refresh)(to[k]), "", "")
+            for k, u in at.items()]
+    rows += [(100 + k, f"https://{e}", None, "", "") for k, e in ends.items()]
+    rows += [(200, "http://eleven.org/p/c", refresh("http://e.org/?url=b"), "", "")]
+    rules = {e.split("?")[0]: "block" for e in ends.values()}
+    got = {r.page_id: r for r in url_filters.judged(pages(spark, rows), rules).collect()}
+    for k in at:
+        assert got[k].verdict == ("block" if k in ends else "allow"), k
+        if k in ends:
+            assert got[k].alias_group == got[100 + k].alias_group, k
+    assert got[9].alias_group == "nine.org/p?q=1" and got[10].alias_group == "ten.org/p"
+    assert got[200].alias_group == got[111].alias_group
+
+
 def test_components_of_chains_hubs_and_cycles(spark):
     rng = np.random.default_rng(8)
     edges = [(k, k + 1) for k in range(1000, 1060)]

@@ -2,10 +2,10 @@
 
 The fixed patterns label the text they match. The tagger is trained in numpy on a bounded sample
 of windows labelled that way, some of them with the marks removed that the patterns rely on (a
-plus sign, an at sign), so that it learns what such data looks like in its surroundings. All
-kinds hold a digit or an at sign, so the tagger reads the stretches around those characters:
-windows overlap, their tag scores are merged where the windows are surest, and one decoding runs
-over each whole stretch.
+plus sign, an at sign, dots), so that it learns what such data looks like in its surroundings. All
+kinds hold a digit, an at sign or the word that spells it, so the tagger reads the stretches
+around those: windows overlap, their tag scores are merged where the windows are surest, and one
+decoding runs over each whole stretch.
 
 Defined results: a null text is the empty text and has no spans; repeated rows give a row each;
 an empty table, or one without a labelled span, trains nothing and adds nothing. Other columns
@@ -30,7 +30,7 @@ from palisade.llm.common import whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Characters read on each side of a digit or at sign.
+#: Characters read on each side of a digit, an at sign or a spelled one, at least.
 REACH = 24
 #: Length of a window and of the part that two neighbours share.
 WINDOW, SHARED = 64, 24
@@ -46,6 +46,17 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TRIGGER = re.compile("[0-9@]+")
+#: At signs and dots that are spelled out, in brackets or not.
+MARK = re.compile(r"\b(?:at|dot)\b", re.I)
+#: Most characters of the parts of an address before and after the at sign (RFC 5321).
+LOCAL_MOST, DOMAIN_MOST = 64, 255
+_AFTER = re.compile(rf"[\s)\]}}>]{{0,4}}\S{{0,{DOMAIN_MOST}}}")
+_AT, _DOT = (rf"\s{{0,2}}[(\[{{<]?\s?\b{w}\b\s?[)\]}}>]?\s{{0,2}}" for w in ("at", "dot"))
+#: An address whose at sign is spelled out, with dots of either kind.
+SPELLED = re.compile(rf"[\w%+-]{{1,{LOCAL_MOST}}}(?:(?:\.|{_DOT})[\w%+-]{{1,{LOCAL_MOST}}}){{0,9}}{_AT}"
+                     rf"[\w-]{{1,63}}(?:(?:\.|{_DOT})[\w-]{{1,63}})+", re.I)
+#: How disguised training windows spell an at sign and a domain's dots.
+AT_FORMS, DOT_FORMS = (" (at) ", " at ", "(at)", " [at] "), (".", ".", " dot ", "(dot)", ".")
 NOT_DIGIT = re.compile("[^0-9]")
 
 
@@ -88,12 +99,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text within reach of a digit or at sign."""
+    """Parts of a text within reach of a digit or at sign, or of one that is spelled out.
+
+    Around a spelled one the words on both sides are read whole.
+    """
+    near = [(m.start() - REACH, m.end() + REACH) for m in TRIGGER.finditer(text)]
+    for m in MARK.finditer(text):
+        head = text[max(0, m.start() - LOCAL_MOST - 4):m.start()]
+        core = head.rstrip(" \t\r\n([{<")
+        word = core.split()[-1] if core.strip() else ""
+        near.append((m.start() - max(REACH, len(head) - len(core) + len(word)),
+                     max(m.end() + REACH, _AFTER.match(text, m.end()).end())))
     out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        start, end = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+    for start, end in sorted(near):
+        start, end = max(0, start), min(len(text), end)
         if out and start <= out[-1][1]:
-            out[-1][1] = end
+            out[-1][1] = max(out[-1][1], end)
         else:
             out.append([start, end])
     return [(a, b) for a, b in out]
@@ -149,16 +170,20 @@ def labelled_windows(docs: DataFrame) -> DataFrame:
         F.col("place") <= F.when(F.col("kind") == "", FIT_OTHERS).otherwise(FIT_PER_KIND))
 
 
-def disguised(window: str, tags: np.ndarray) -> tuple[str, np.ndarray]:
-    """The window with the mark of its kind removed: a phone's plus, an e-mail's at sign."""
-    chars, kept = [], []
+def disguised(window: str, tags: np.ndarray, form: int = 0) -> tuple[str, np.ndarray]:
+    """The window with the mark of its kind removed: a phone's plus, an e-mail's at sign and,
+    in some forms, its domain's dots."""
+    chars, kept, domain = [], [], False
+    sign, dot = AT_FORMS[form % len(AT_FORMS)], DOT_FORMS[form % len(DOT_FORMS)]
     for c, t in zip(window, tags):
         kind = KINDS[(t - 1) // 2] if t else ""
         if kind == "phone" and c == "+":
             continue
-        if kind == "email" and c == "@":
-            chars += " (at) "
-            kept += [t + (t % 2)] * 6
+        domain = kind == "email" and (domain and t % 2 == 0 or c == "@")
+        if domain and c in "@.":
+            spelled = sign if c == "@" else dot
+            chars += spelled
+            kept += [t + (t % 2)] * len(spelled)
         else:
             chars.append(c)
             kept.append(t)
@@ -178,8 +203,8 @@ def fitted(docs: DataFrame) -> Tagger | None:
     for k, (kind, window, digits) in enumerate(rows):
         tags = np.array(list(map(int, digits)))
         forms = [(window, tags)]
-        if kind in ("phone", "email") and k % 2:
-            forms.append(disguised(window, tags))
+        if kind == "email" or kind == "phone" and k % 2:
+            forms.append(disguised(window, tags, k))
         for text, own in forms:
             ids = np.full(WINDOW, PAD)
             found = classes_of(text)
@@ -258,7 +283,19 @@ def _spans(text: str, start: int, tags: list[int]) -> list[tuple[int, int, str]]
         digits = sum("0" <= c <= "9" for c in own)
         if digits < FEWEST_DIGITS[name] or name == "ip" and own.count(".") < 3:
             continue
-        if name == "email" and ("." not in own or "@" not in own and "at" not in own):
+        if name == "email" and "@" not in own:
+            # The whole address counts when the tagger has found a part of it.
+            low, high = max(start, a - LOCAL_MOST - 8), min(start + n, b + DOMAIN_MOST)
+            whole = next((m.span() for m in SPELLED.finditer(text, low, high)
+                          if m.start() < b and a < m.end()), None)
+            if whole:
+                a, b = whole
+                k = max(k, b - start)
+                while found and found[-1][0] >= a:
+                    found.pop()
+            elif "." not in own or "at" not in own:
+                continue
+        elif name == "email" and "." not in own:
             continue
         if name in ("card", "phone") and sum(c.isalpha() for c in own):
             continue

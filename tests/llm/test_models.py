@@ -84,6 +84,21 @@ def test_tagger_reads_long_stretches(tagger):
     assert pii.tagged(tagger, ["1" * 20_000])[0] is not None
 
 
+def test_disguised_addresses_without_digit_or_at_sign(tagger):
+    """Spelled-out at signs and dots are read in prose that holds neither a digit nor '@'."""
+    forms = ["jane.doe (at) mail.example.org", "mary.smith(at)mail.example.com",
+             "bob.jones [at] mail.example.net", "tom.brown at mail.example.com",
+             "jonathan.alexander.featherstonehaugh (at) mail.engineering.example.org",
+             "ann.lee at mail dot example dot com"]
+    texts = [f"{PROSE} Please write to {f} for more. {PROSE}" for f in forms]
+    for form, text, (base, spans) in zip(forms, texts, pii.all_spans(tagger, texts)):
+        assert base == [] and [text[a:b] for a, b, _ in spans] == [form]
+        assert form not in pii.cleaned(text, spans) and "[EMAIL]" in pii.cleaned(text, spans)
+    plain = PROSE * 5 + "They met at dawn. He looked at it. A dot on the map, at best. "
+    assert pii.all_spans(tagger, [plain]) == [([], [])]
+    assert pii.stretches("at." * 50_000) == [(0, 150_000)]
+
+
 def test_scan_and_redaction(spark, odd):
     rows = [(k, f"{PROSE} mail joe.{k}@mail.example.com or 10.0.0.{k} {PROSE}") for k in range(60)]
     docs = documents(spark, rows).union(odd)

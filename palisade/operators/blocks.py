@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from palisade.session import materialize
+
 BLOCK_ROWS = 1_000_000
 
 
@@ -60,3 +62,25 @@ def previous_value(df: DataFrame, keys: list[str], order: str, value: Column,
         .withColumn("previous", F.coalesce("_near", "_carry"))
         .drop("_block", "_held", "_near", "_carry")
     )
+
+
+def range_rank(df: DataFrame, order: list[Column], name: str,
+               rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds the 0-based position of each row of the whole table in the given order.
+
+    Spark cuts the order into ranges of about ``rows`` rows or fewer; a row's position is its
+    place in its range after the rows of the ranges before. The one window without a key sees a
+    row per range. Rows that are equal in ``order`` stay in one range.
+    """
+    spark = df.sparkSession
+    held = materialize(df, "unordered")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // rows))
+    dealt = materialize(held.repartitionByRange(ranges, *order)
+                        .withColumn("_range", F.spark_partition_id()), "ordered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    return (dealt.withColumn("_place", F.row_number().over(inside) - 1).join(starts, "_range")
+            .withColumn(name, F.col("_start") + F.col("_place"))
+            .drop("_range", "_place", "_start"))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, fingerprints, jaccard_join, licenses, packing, pii, quality_classifier, quality_rules, toxicity, url_filters
+from palisade.llm import (bpe, divergence, fingerprints, jaccard_join, licenses, packing, pii,
+                          prefix_trie, quality_classifier, quality_rules, sharding, toxicity,
+                          url_filters)
 from palisade.llm.common import table
 
 #: Places of the vocabulary files, which every machine has.
@@ -71,3 +73,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from palisade.llm import quality_rules as rules
+from palisade.llm import sql_corpus
 from palisade.llm import url_filters as urls
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,4 +114,5 @@ FROM tagged LEFT JOIN decided ON alias_group = g"""
 SQL = {
     "op5_url_filters": f"WITH RECURSIVE {url_filters()}",
     "op1_quality_rules": f"WITH {quality_rules()} SELECT * FROM judged",
+    **sql_corpus.SQL,
 }

@@ -38,7 +38,7 @@ from palisade.session import materialize
 GROUP = 20
 HEADS = 4
 #: Components up to this size are split inside one task.
-LOCAL_NODES = 1024
+LOCAL_NODES = 256
 #: Nodes that a task splits at once, and bytes of ids that travel as one row.
 BATCH_NODES = 200_000
 CHUNK_BYTES = 1 << 16

@@ -22,6 +22,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+#: Folders of local sessions that came without one, by application.
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
@@ -32,9 +36,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="palisade-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    own = spark.sparkContext.applicationId
+    if own not in _OWN_FOLDERS:
+        _OWN_FOLDERS[own] = tempfile.mkdtemp(prefix="palisade-")
+    return _OWN_FOLDERS[own]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

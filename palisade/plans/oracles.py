@@ -501,6 +501,17 @@ SQL["stream_fusion_60s"] = SQL["fusion_alerts_60s"] + " WHERE base > 0"
 SQL["stream_normalize"] = (
     "WITH parsed AS (" + SQL["parse_snapshot_line"] + ") "
     "SELECT source, state, count(*) AS n FROM parsed GROUP BY source, state")
+SQL["stream_tail"] = (
+    "WITH parsed AS (" + SQL["parse_snapshot_line"] + "), "
+    "top AS (SELECT max(event_id) AS last FROM events) "
+    "SELECT source, state, count(*) AS n FROM parsed, top "
+    "WHERE seq * 4 // (last + 1) >= 1 GROUP BY source, state")
+SQL["stream_append"] = (
+    "WITH parsed AS (" + SQL["parse_snapshot_line"] + ") SELECT seq, source, state FROM parsed")
+SQL["stream_push"] = _with(FRAMES) + f""", arrived AS (SELECT base, row_number() OVER (ORDER BY
+  list_position({[name for name, _, _ in C.DATASETS]}, dataset), seq) - 1 AS place FROM frames)
+SELECT place // {C.PUSH_FRAMES} AS push, count(*) AS frames,
+  (count(*) FILTER (WHERE base > 0)) AS suspicious FROM arrived GROUP BY 1"""
 SQL["stream_seeded_changes"] = _with(SNAPSHOTS) + """, cut AS (
   SELECT max(seq) // 2 AS border FROM states),
 firsts AS (

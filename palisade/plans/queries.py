@@ -15,7 +15,7 @@ from palisade.operators import (
     sequence, snapshots, synth, tfidf,
 )
 from palisade.plans import adapters as A
-from palisade.plans import fixed_forest, pipeline
+from palisade.plans import fixed_forest, live, pipeline
 from palisade.sources import readers, sinks
 from palisade.streaming import fusion as stream_fusion_rows
 from palisade.streaming import snapshots as stream_snapshots
@@ -880,3 +880,6 @@ def stream_fusion_60s(spark, sf_dir):
     rows = own.readStream.schema(spark.read.parquet(path).schema).option(
         "maxFilesPerTrigger", 1).parquet(path)
     return _run_stream(stream_fusion_rows.recent_ledger(rows), spark, "ledger", 3)
+
+
+REGISTRY |= live.REGISTRY

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 from palisade import constants as C
 from palisade.operators import correlate, fusion
@@ -69,14 +70,24 @@ def ledger(frames: DataFrame) -> DataFrame:
     return fusion.fuse(correlated.unionByName(unknown))
 
 
+def in_pushes(batch: DataFrame, frames: int = C.PUSH_FRAMES) -> DataFrame:
+    """Adds ``push``, the number of the push inside a batch of tailed frames.
+
+    A batch holds at most the source's ``most`` lines, so one task may number them.
+    """
+    order = Window.orderBy("file", "at")
+    return batch.withColumn("push", F.floor((F.row_number().over(order) - 1) / frames))
+
+
 def push(rows: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str,
-         seconds: int = C.PUSH_SECONDS, once: bool = False):
-    """Hands every batch to ``publish`` at the push interval.
+         seconds: float | None = None, once: bool = False):
+    """Hands every batch to ``publish``.
 
-    A source that can wait for a number of rows (Kafka: ``minOffsetsPerTrigger`` 30 with
-    ``maxTriggerDelay`` 20 s) gives the other half of the policy.
+    A ``tail`` with ``frames`` lets a batch through after 30 frames or 20 seconds, whichever
+    comes first. Other sources take a batch every ``seconds``.
     """
-    trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
+    trigger = {"availableNow": True} if once else {
+        "processingTime": f"{seconds} seconds" if seconds else "100 milliseconds"}
     return (
         rows.writeStream.foreachBatch(publish).outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from palisade import schema
 from palisade.operators import snapshots
+from palisade.sources import tail
 
 FILES_PER_TRIGGER = 100  # bounds what one batch, and so one entity in it, can hold
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -35,22 +36,32 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-def tail_lines(spark: SparkSession, folder: str, since=None) -> DataFrame:
-    """New lines of the rolled dump files in ``folder``: ``source`` and ``line``.
-
-    The file name tells the source. The file source takes whole files, so a collector rolls
-    its dumps instead of appending; with ``since`` older files are passed over.
-    """
-    rows = spark.readStream.option("maxFilesPerTrigger", FILES_PER_TRIGGER).text(folder)
-    name = F.lower(F.col("_metadata.file_name"))
-    source = (
+def source_of(name: Column) -> Column:
+    """The kind of a dump, told by its file's name."""
+    name = F.lower(name)
+    return (
         F.when(name.startswith("network"), F.lit("NETWORK"))
         .when(name.startswith("os"), F.lit("OS"))
         .when(name.startswith("app"), F.lit("APP"))
     )
+
+
+def tail_lines(spark: SparkSession, folder: str, start: str = "end") -> DataFrame:
+    """New lines of the growing dumps in ``folder``: ``source`` and ``line``."""
+    rows = tail.tail(spark, folder, from_=start)
+    return rows.select(source_of(F.col("file")).alias("source"), "line")
+
+
+def rolled_lines(spark: SparkSession, folder: str, since=None) -> DataFrame:
+    """Lines of dumps that are rolled, not appended to, so that whole files arrive.
+
+    With ``since`` older files are passed over.
+    """
+    rows = spark.readStream.option("maxFilesPerTrigger", FILES_PER_TRIGGER).text(folder)
     if since is not None:
         rows = rows.where(F.col("_metadata.file_modification_time") >= F.lit(since))
-    return rows.select(source.alias("source"), F.col("value").alias("line"))
+    return rows.select(source_of(F.col("_metadata.file_name")).alias("source"),
+                       F.col("value").alias("line"))
 
 
 def normalized(lines: DataFrame) -> DataFrame:
@@ -62,11 +73,8 @@ def normalized(lines: DataFrame) -> DataFrame:
 
 
 def write_records(records: DataFrame, path: str, checkpoint: str, **trigger):
-    """Appends records as JSON lines."""
-    return (
-        records.writeStream.format("json").outputMode("append").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    )
+    """Appends records as JSON lines, each batch once; ``tail.read_log`` reads them."""
+    return tail.append(records, path, checkpoint, **trigger)
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import correlate, fusion, snapshots
 from palisade.plans import queries
+from palisade.sources import tail
 from palisade.streaming import fusion as live_fusion
 from palisade.streaming import snapshots as live
 from tests.test_fusion import frame, random_frames
@@ -74,16 +75,17 @@ def test_recent_ledger_over_batches(spark, stateful, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_tailed_lines_know_their_source(spark, tmp_path):
+def test_rolled_lines_know_their_source(spark, tmp_path):
     folder = tmp_path / "dumps"
     folder.mkdir()
     (folder / "network-001.log").write_text("--- [t] NETWORK DUMP ---\nTCP a:1 b:2 LISTEN 7\n")
     (folder / "os-001.log").write_text("svc up\nlone\n")
-    records = live.normalized(live.tail_lines(spark, str(folder)))
+    records = live.normalized(live.rolled_lines(spark, str(folder)))
     path, mark = str(tmp_path / "out"), str(tmp_path / "mark")
     live.write_records(records, path, mark, availableNow=True).awaitTermination()
-    rows = spark.read.json(path).collect()
-    assert {(r["source"], r["data"]["pid"]) for r in rows} == {("NETWORK", "7"), ("OS", None)}
+    rows = tail.read_log(spark, path, records.schema).collect()
+    assert {(r["source"], r["data"]["pid"] if r["source"] == "NETWORK" else None)
+            for r in rows} == {("NETWORK", "7"), ("OS", None)}
 
 
 def test_push_publishes_every_batch(spark, tmp_path):

@@ -782,21 +782,41 @@ def learned_evaluation(spark, sf_dir):
 # --- streams -------------------------------------------------------------------------------------
 
 STREAM_FILES = 4
+FILE_ROWS = 1_000_000
 
 
-def _files_in_order(rows: DataFrame, name: str, key: str = "seq") -> str:
-    """Rows as parquet folders' files, one key range after the other, each range a batch.
+def _files_in_order(rows: DataFrame, name: str, key: str = "seq") -> tuple[str, int, int]:
+    """Rows as parquet files, one range of ``key`` after the other: path, files a range, ranges.
 
-    A file stream takes files by age, so ranges are written in turn; a range is one file, which
-    a stream reads as one batch.
+    A file stream takes files by age, so ranges are written in turn; a batch is the files of one
+    range. Rows are worked out once, and a range has as many files as its rows need. Null keys come
+    first.
     """
-    path = session.scratch_path(rows.sparkSession, name)
-    cuts = rows.approxQuantile(key, [k / STREAM_FILES for k in range(1, STREAM_FILES)], 0.01)
+    spark = rows.sparkSession
+    path = session.scratch_path(spark, name)
+    rows = session.materialize(rows, f"{name}-rows")
+    total = rows.count()
+    each = max(1, -(-total // (STREAM_FILES * FILE_ROWS)))
+    cuts = sorted(set(rows.approxQuantile(
+        key, [k / STREAM_FILES for k in range(1, STREAM_FILES)], 0.01))) if total else []
+    ranges = 0
     for low, high in zip([None, *cuts], [*cuts, None]):
-        part = rows if low is None else rows.where(F.col(key) >= low)
-        part = part if high is None else part.where(F.col(key) < high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+        inside = F.lit(True) if low is None else F.col(key) >= low
+        inside = inside if high is None else inside & (F.col(key) < high)
+        part = rows.where(inside | F.col(key).isNull() if low is None else inside)
+        if not part.isEmpty():
+            part.repartition(each).write.mode("append").parquet(path)
+            ranges += 1
+    if not ranges:
+        rows.limit(0).write.parquet(path)
+    return path, each, ranges
+
+
+def _file_stream(spark: SparkSession, rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """A stream over ``rows`` in order, with the state store that state needs, and its batches."""
+    path, each, ranges = _files_in_order(rows, name)
+    own = stream_snapshots.stateful_session(spark)
+    return own.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path), ranges
 
 
 def _run_stream(stream: DataFrame, spark: SparkSession, name: str, batches: int = 0) -> DataFrame:
@@ -838,11 +858,8 @@ def stream_normalize(spark, sf_dir):
 
 @query
 def stream_state_changes(spark, sf_dir):
-    path = _files_in_order(A.snapshots(spark, sf_dir), "snapshots")
-    own = stream_snapshots.stateful_session(spark)
-    rows = own.readStream.schema(spark.read.parquet(path).schema).option(
-        "maxFilesPerTrigger", 1).parquet(path)
-    return _run_stream(stream_snapshots.changes(rows), spark, "changes", 3).select(
+    rows, batches = _file_stream(spark, A.snapshots(spark, sf_dir), "snapshots")
+    return _run_stream(stream_snapshots.changes(rows), spark, "changes", batches).select(
         "seq", "uid", "state")
 
 
@@ -854,32 +871,23 @@ def stream_seeded_changes(spark, sf_dir):
     earlier, later = rows.where(F.col("seq") < cut), rows.where(F.col("seq") >= cut)
     seed = session.materialize(
         snapshots.last_states(snapshots.distinct_states(earlier)), "seed")
-    path = _files_in_order(later, "snapshots")
-    own = stream_snapshots.stateful_session(spark)
-    rows = own.readStream.schema(spark.read.parquet(path).schema).option(
-        "maxFilesPerTrigger", 1).parquet(path)
-    known = own.read.schema(seed.schema).parquet(*seed.inputFiles())
-    return _run_stream(stream_snapshots.changes(rows, known), spark, "changes", 3).select(
+    rows, batches = _file_stream(spark, later, "snapshots")
+    known = rows.sparkSession.read.schema(seed.schema).parquet(*seed.inputFiles())
+    return _run_stream(stream_snapshots.changes(rows, known), spark, "changes", batches).select(
         "seq", "uid", "state")
 
 
 @query
 def stream_fusion(spark, sf_dir):
-    path = _files_in_order(_scored(spark, sf_dir), "scored")
-    own = stream_snapshots.stateful_session(spark)
-    rows = own.readStream.schema(spark.read.parquet(path).schema).option(
-        "maxFilesPerTrigger", 1).parquet(path)
-    return _run_stream(stream_fusion_rows.ledger(rows), spark, "ledger", 3)
+    rows, batches = _file_stream(spark, _scored(spark, sf_dir), "scored")
+    return _run_stream(stream_fusion_rows.ledger(rows), spark, "ledger", batches)
 
 
 @query
 def stream_fusion_60s(spark, sf_dir):
     timed = _scored(spark, sf_dir).withColumn("at", A.elapsed_thousandths(F.col("ts")))
-    path = _files_in_order(timed, "scored")
-    own = stream_snapshots.stateful_session(spark)
-    rows = own.readStream.schema(spark.read.parquet(path).schema).option(
-        "maxFilesPerTrigger", 1).parquet(path)
-    return _run_stream(stream_fusion_rows.recent_ledger(rows), spark, "ledger", 3)
+    rows, batches = _file_stream(spark, timed, "scored")
+    return _run_stream(stream_fusion_rows.recent_ledger(rows), spark, "ledger", batches)
 
 
 REGISTRY |= live.REGISTRY

@@ -1,5 +1,9 @@
 """Streams in several batches give what the batch operators give."""
 
+import random
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +79,60 @@ def test_recent_ledger_over_batches(spark, stateful, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def loop_recent(rows, order, span, lateness, newest_of):
+    """Bonus by a plain loop over rows in arrival order; ``newest_of`` knows earlier batches."""
+    seen, out = [], {}
+    for k in order:
+        at, src, tag, seq = rows[k]
+        near = [t for a, s, t, _ in seen if s == src and at - span <= a <= at]
+        out[seq] = any(t != tag for t in near) or sum(t == tag for t in near) > 5
+        if at >= newest_of(k) - lateness:
+            seen.append(rows[k])
+    return out
+
+
+def test_recent_hits_against_a_loop():
+    """Batches out of order: rows too late are scored and not remembered."""
+    rng = random.Random(21)
+    rows = [(k // 3 + rng.choice([0, 0, 0, -8, -40]), "s", rng.choice("abc"), k) for k in range(400)]
+    span, lateness, held, high, got, order = 9, 5, {}, -10**6, {}, []
+    newest = {}
+    for start in range(0, 400, 37):
+        part = sorted(range(start, min(start + 37, 400)), key=lambda k: (rows[k][0], k))
+        batch = pd.DataFrame({"at": [rows[k][0] for k in part], "tag": [rows[k][2] for k in part]})
+        on_time = (batch["at"] >= high - lateness).to_numpy()
+        got |= dict(zip(part, live_fusion.recent_hits(held, batch, span, on_time)))
+        newest |= dict.fromkeys(part, high)
+        order += part
+        timely = batch[on_time]
+        high = max(high, int(batch["at"].max()))
+        for tag in "abc":
+            held[tag] = live_fusion.remembered(
+                held.get(tag, np.zeros(0, np.int64)),
+                timely["at"][timely["tag"] == tag].to_numpy(np.int64), high - span - lateness)
+            assert len(held[tag]) <= 6 * (span + lateness + 1)
+    want = loop_recent(rows, order, span, lateness, newest.get)
+    exact = [k for k in order if rows[k][0] >= newest[k] - lateness]  # later rows may miss the pruned
+    assert len(exact) < 400 and all(got[k] == want[k] for k in exact)
+    assert all(want[k] or not got[k] for k in order)
+
+
+def test_idle_sources_hold_no_state(spark, stateful, tmp_path):
+    """The watermark of a later batch clears the sources of the first."""
+    rows = [(k, f"10.0.0.{k}", "a", 1.0, 100 + k % 5) for k in range(50)]
+    rows += [(k, "10.0.1.1", "b", 1.0, 100 + 20 * k) for k in range(50, 90)]
+    df = spark.createDataFrame(rows, "seq long, src_ip string, tag string, base double, at long")
+    df = df.withColumns({"ts": F.lit("2026-01-01").cast("timestamp_ntz"), "payload": F.lit("p")})
+    folder = str(tmp_path / "in")
+    written_one_by_one(df, folder, [0, 50, 60, 70, 90])
+    rows = live_fusion.recent_ledger(stream_of(stateful, folder))
+    run = rows.writeStream.format("noop").option(
+        "checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "seen").load(str(tmp_path / "mark"))
+    assert {r[0] for r in held.select("key.src_ip").distinct().collect()} == {"10.0.1.1"}
+
+
 def test_rolled_lines_know_their_source(spark, tmp_path):
     folder = tmp_path / "dumps"
     folder.mkdir()

@@ -22,11 +22,6 @@ def block_of(seq: Column, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(seq / F.lit(rows)).cast("bigint")
 
 
-def hash_block(digest: Column, digits: int = 3) -> Column:
-    """Blocks of a uniform hex digest: equal shares whatever the data."""
-    return F.substring(digest, 1, digits)
-
-
 def ordered_rank(df: DataFrame, keys: list[str], order: list[str], block: Column,
                  name: str) -> DataFrame:
     """Adds the 0-based position of each row inside its key."""
@@ -64,23 +59,36 @@ def previous_value(df: DataFrame, keys: list[str], order: str, value: Column,
     )
 
 
+def in_ranges(df: DataFrame, order: list[Column], name: str,
+              ranges: int | None = None) -> DataFrame:
+    """The table cut into ranges of the order, with the range's number as ``_range``.
+
+    Spark samples the order, so ranges are of like size whatever the keys; there are as many as
+    shuffle partitions unless ``ranges`` says otherwise. Rows that are equal in ``order`` stay in
+    one range. The result is written, so numbers do not change.
+    """
+    dealt = df.repartitionByRange(*([ranges] if ranges else []), *order)
+    return materialize(dealt.withColumn("_range", F.spark_partition_id()), name)
+
+
 def range_rank(df: DataFrame, order: list[Column], name: str,
-               rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds the 0-based position of each row of the whole table in the given order.
+               rows: int = BLOCK_ROWS, keys: list[str] | None = None) -> DataFrame:
+    """Adds the 0-based position of each row of the whole table, or of its key, in the order.
 
-    Spark cuts the order into ranges of about ``rows`` rows or fewer; a row's position is its
-    place in its range after the rows of the ranges before. The one window without a key sees a
-    row per range. Rows that are equal in ``order`` stay in one range.
+    Ranges hold about ``rows`` rows at most; a row's position is its place in its range after the
+    rows of the ranges before. With ``keys`` the order must begin with them. Windows over the whole
+    table see a row per range (and key), never the data.
     """
-    spark = df.sparkSession
+    spark, keys = df.sparkSession, keys or []
     held = materialize(df, "unordered")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // rows))
-    dealt = materialize(held.repartitionByRange(ranges, *order)
-                        .withColumn("_range", F.spark_partition_id()), "ordered")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select(
-        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy(*order)
-    return (dealt.withColumn("_place", F.row_number().over(inside) - 1).join(starts, "_range")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = in_ranges(held, order, "ordered", max(least, -(-held.count() // rows)))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).select(
+        *keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    return (dealt.withColumn("_place", F.row_number().over(inside) - 1)
+            .join(starts, [*keys, "_range"])
             .withColumn(name, F.col("_start") + F.col("_place"))
             .drop("_range", "_place", "_start"))

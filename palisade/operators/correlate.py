@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palisade import constants as C
+from palisade.operators import blocks
+from palisade.session import materialize
 
 NEEDED_HITS = C.REPEAT_LIMIT + 1
 
@@ -90,64 +92,99 @@ def with_bonus(frames: DataFrame, history: DataFrame | None = None) -> DataFrame
 
 
 def with_window_bonus(frames: DataFrame) -> DataFrame:
-    """The same bonus as running sums over a window: one shuffle, but one task per source.
+    """The same bonus as running counts of suspicious frames, per source and per layer.
 
-    Frames of an unknown address have no history and get a key of their own. For data without
-    hot sources; ``with_bonus`` is the default.
+    Windows run inside (source, range of rows); what earlier ranges of a source hold is added from
+    one row per source, range and layer, so a hot source is spread over the ranges it fills. Frames
+    of an unknown address have no history and get a key of their own.
     """
     unknown = F.coalesce(F.col("src_ip") == C.UNKNOWN_IP, F.lit(False))
-    frames = frames.withColumn("_who", F.when(
-        unknown, F.concat(F.lit("?"), F.col("seq").cast("string"))).otherwise(F.col("src_ip")))
+    spread = F.concat(F.lit("?"), F.col("seq").cast("string"))
+    frames = frames.withColumns({
+        "_who": F.coalesce(F.when(unknown, spread).otherwise(
+            F.concat(F.lit("="), F.col("src_ip"))), F.lit("")),
+        "_layer": F.coalesce(F.concat(F.lit("="), F.col("tag")), F.lit("")),
+        "_hit": (F.col("base") > 0).cast("long")})
+    dealt = blocks.in_ranges(frames, [F.col("_who"), F.col("seq")], "frames")
+
+    def counted(*keys: str) -> DataFrame:
+        per = dealt.groupBy("_who", "_range", *keys).agg(F.sum("_hit").alias("_n"))
+        earlier = Window.partitionBy("_who", *keys).orderBy("_range").rowsBetween(
+            Window.unboundedPreceding, -1)
+        return per.select("_who", "_range", *keys, F.coalesce(
+            F.sum("_n").over(earlier), F.lit(0)).alias("_same0" if keys else "_all0"))
 
-    def earlier(*keys: str) -> Column:
-        w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(
+    def inside(*keys: str) -> Column:
+        w = Window.partitionBy("_who", "_range", *keys).orderBy("seq").rowsBetween(
             Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("base").over(w), F.lit(0.0))
+        return F.coalesce(F.sum("_hit").over(w), F.lit(0))
+
+    before = counted("_layer").join(counted(), ["_who", "_range"])
+    sums = dealt.withColumns({"_all": inside(), "_same": inside("_layer")}).join(
+        before, ["_who", "_range", "_layer"])
+    every, same = F.col("_all") + F.col("_all0"), F.col("_same") + F.col("_same0")
+    hit = ~unknown & ((every > same) | (same > C.REPEAT_LIMIT))
+    return sums.withColumn("bonus", bonus_of(hit)).select(
+        *[c for c in frames.columns if c not in ("_who", "_layer", "_hit")], "bonus")
 
-    sums = frames.withColumns({"_all": earlier("_who"), "_same": earlier("_who", "tag")})
-    hit = ~unknown & ((F.col("_all") > F.col("_same")) | (F.col("_same") > C.REPEAT_LIMIT))
-    return sums.withColumn("bonus", bonus_of(hit)).drop("_all", "_same", "_who")
 
+def _carried(dealt: DataFrame, at: str) -> DataFrame:
+    """The last six hits per layer before each range of a source that began in an earlier one.
 
-def with_recent_bonus(frames: DataFrame, at: str = "at", span: int = C.CORRELATION_SECONDS,
-                      block: int | None = None) -> DataFrame:
+    ``dealt`` has ``_key, _range, _hit``. Hits of a (source, layer) are numbered through; a range
+    asks for the six numbers before its first, and each of those is among the last six of the range
+    it lies in. At most one source goes on into a range, so what is asked for is a few rows per
+    range, however many rows or ranges a source has.
+    """
+    hits = dealt.where("_hit").select("_key", "_range", "tag", at, "seq")
+    by_key = Window.partitionBy("_key").orderBy("_range")
+    present = dealt.select("_key", "_range").distinct().withColumn(
+        "_goes_on", F.lag("_range").over(by_key).isNotNull())
+    present = materialize(present.withColumn("_long", F.max("_goes_on").over(
+        Window.partitionBy("_key"))).where("_long").select("_key", "_range"), "present")
+    keys = present.select("_key").distinct()
+    hits = hits.join(keys, "_key", "left_semi")
+    counts = materialize(hits.groupBy("_key", "_range", "tag").agg(F.count("*").alias("_n")), "counts")
+    layers = counts.select("_key", "tag").distinct()
+    earlier = Window.partitionBy("_key", "tag").orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1)
+    grid = present.join(layers, "_key").join(counts, ["_key", "_range", "tag"], "left").select(
+        "_key", "_range", "tag", F.coalesce("_n", F.lit(0)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    grid = materialize(grid, "grid")
+    latest = Window.partitionBy("_key", "_range", "tag").orderBy(F.desc(at), F.desc("seq"))
+    tails = hits.withColumn("_nth", F.row_number().over(latest)).where(
+        F.col("_nth") <= NEEDED_HITS).join(grid, ["_key", "_range", "tag"]).select(
+        "_key", "tag", (F.col("_before") + F.col("_n") - F.col("_nth") + 1).alias("_number"), at, "seq")
+    asked = grid.where(F.col("_before") > 0).select("_key", "_range", "tag", F.explode(F.sequence(
+        F.greatest(F.col("_before") - (NEEDED_HITS - 1), F.lit(1)), F.col("_before"))).alias("_number"))
+    return asked.join(tails, ["_key", "tag", "_number"]).drop("_number")
+
+
+def with_recent_bonus(frames: DataFrame, at: str = "at",
+                      span: int = C.CORRELATION_SECONDS) -> DataFrame:
     """The bonus over the last ``span`` units of the whole-number time column ``at``.
 
-    Frames are cut into time blocks, so a source is spread over as many tasks as it has
-    blocks. A block needs no more of an earlier one than the last six suspicious frames of
-    each layer; those are copied forward. A shorter ``block`` makes smaller tasks and more
-    copies. All windows run forward over the block once.
+    A segmented scan: frames in order of (source, time) are cut into ranges of like size, windows
+    run forward inside a range, and a source's last six hits per layer are carried into each of its
+    later ranges. A source with most of the rows, even within one time unit, is spread over as many
+    tasks as it fills.
     """
-    block = block or span
-    reach = -(-span // block)
     usable = F.col("src_ip").isNotNull() & (F.col("src_ip") != C.UNKNOWN_IP)
     spread = F.concat(F.lit("?"), F.col("seq").cast("string"))
     base = frames.withColumns({
-        "_key": F.when(usable, F.col("src_ip")).otherwise(spread),
-        "_block": F.floor(F.col(at) / F.lit(block)).cast("bigint"),
-    })
-    suspect = base.where((F.col("base") > 0) & usable).select(
-        "_key", "_block", "tag", at, "seq")
-    latest = Window.partitionBy("_key", "_block", "tag").orderBy(
-        F.desc(at), F.desc("seq"))
-    copies = (
-        suspect.withColumn("_nth", F.row_number().over(latest))
-        .where(F.col("_nth") <= NEEDED_HITS)
-        .withColumn("_block", F.explode(F.sequence(F.col("_block") + 1,
-                                                   F.col("_block") + reach)))
-        .drop("_nth")
-        .withColumns({"_copy": F.lit(True), "_hit": F.lit(True)})
-    )
-    current = base.withColumns({
-        "_copy": F.lit(False), "_hit": (F.col("base") > 0) & usable})
-    rows = current.unionByName(copies, allowMissingColumns=True)
-
+        "_key": F.when(usable, F.concat(F.lit("="), F.col("src_ip"))).otherwise(spread),
+        "_hit": F.coalesce((F.col("base") > 0) & usable, F.lit(False))})
     order = [F.col(at), F.col("seq")]
-    source = Window.partitionBy("_key", "_block").orderBy(*order).rowsBetween(
+    dealt = blocks.in_ranges(base, [F.col("_key"), *order], "frames")
+    copies = _carried(dealt, at).withColumns({"_copy": F.lit(True), "_hit": F.lit(True)})
+    rows = dealt.withColumn("_copy", F.lit(False)).unionByName(copies, allowMissingColumns=True)
+
+    source = Window.partitionBy("_key", "_range").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
-    layer = Window.partitionBy("_key", "_block", "tag").orderBy(*order).rowsBetween(
+    layer = Window.partitionBy("_key", "_range", "tag").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
-    hits_of_layer = Window.partitionBy("_key", "_block", "tag", "_hit").orderBy(*order)
+    hits_of_layer = Window.partitionBy("_key", "_range", "tag", "_hit").orderBy(*order)
 
     seen = rows.withColumns({
         "_last": F.last(F.when(F.col("_hit"), F.struct(F.col(at).alias("at"), "tag")),

@@ -80,11 +80,12 @@ def sample_per_dataset(rows: DataFrame, n: int = C.SAMPLE_LIMIT, seed: int = 42)
 def shuffle_order(rows: DataFrame, seed: int = 42) -> DataFrame:
     """Replaces ``seq`` by a random position inside the dataset.
 
-    Ranks are taken inside slices of the digest, which are equal whatever the data.
+    The order is cut into ranges of a bounded number of rows; positions are counts of the ranges
+    before.
     """
     marked = rows.withColumn("_digest", keyed_digest(seed))
-    ranked = blocks.ordered_rank(marked, ["dataset"], ["_digest", "seq"],
-                                 blocks.hash_block(F.col("_digest")), "_rank")
+    ranked = blocks.range_rank(marked, [F.col(c) for c in ("dataset", "_digest", "seq")], "_rank",
+                               keys=["dataset"])
     return ranked.withColumn("seq", F.col("_rank")).drop("_rank", "_digest")
 
 

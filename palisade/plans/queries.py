@@ -65,7 +65,7 @@ def fusion_alerts_60s(spark, sf_dir):
 @query
 def correlate_60s(spark, sf_dir):
     timed = _scored(spark, sf_dir).withColumn("at", A.elapsed_thousandths(F.col("ts")))
-    return correlate.with_recent_bonus(timed, block=20).select(
+    return correlate.with_recent_bonus(timed).select(
         "seq", "src_ip", "tag", "at", "bonus")
 
 

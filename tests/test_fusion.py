@@ -51,13 +51,30 @@ def test_bonus_equals_loop(spark, seed, base):
         assert got == want
 
 
-@pytest.mark.parametrize("block", [None, 7, 60, 200])
-def test_recent_bonus_equals_loop_for_any_block(spark, block):
-    rows = random_frames(500, 4, base=0.5)
+@pytest.fixture(params=[1, 3, 40])
+def ranges(spark, request):
+    """So many ranges of rows, none of them put together again."""
+    names = {"spark.sql.shuffle.partitions": str(request.param),
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_scans_equal_loops_for_any_ranges(spark, ranges):
+    rows = random_frames(300, 4, base=0.5)
+    rows += [(1000 + k, "1.2.3.4", TAGS[0], 1.0, rows[-1][4]) for k in range(5)]
+    rows += [(2000 + k, None, TAGS[k % 3], 1.0, rows[-1][4]) for k in range(5)]
+    known = [r for r in rows if r[1] is not None]
     df = frame(spark, rows)
-    got = {r["seq"]: r["bonus"] for r in
-           correlate.with_recent_bonus(df, span=60, block=block).collect()}
-    assert got == loop_bonus(rows, 60)
+    got = {r["seq"]: r["bonus"] for r in correlate.with_recent_bonus(df, span=60).collect()}
+    assert got == loop_bonus(known, 60) | {2000 + k: 0.0 for k in range(5)}
+    got = {r["seq"]: r["bonus"] for r in correlate.with_window_bonus(
+        df.where("src_ip IS NOT NULL")).collect()}
+    assert got == loop_bonus(known)
 
 
 def test_recent_bonus_with_many_equal_times(spark):

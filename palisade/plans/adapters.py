@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade import constants as C
 from palisade import session
 
+MONDAY, FRIDAY, APACHE, SSH, LANL, LINUX, WINDOWS = [name for name, _, _ in C.DATASETS]
 START = "2024-01-01 00:00:00"
 
 
@@ -46,22 +48,23 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     # its expression and the predicates over it, which would copy it once per signature.
     held = F.inline(F.array(F.struct(_payload(user, seq).alias("payload"))))
     events = session.spread(table(spark, sf_dir, "events"), "event_id")
+    odd = (seq % 2) == 1  # sign-ups and purchases alternate between two datasets each
     return events.select("*", held).select(
         seq.alias("seq"),
         "ts",
         F.when(user % 5 == 0, F.lit("0.0.0.0")).otherwise(
             F.concat(F.lit("10.0.0."), (user % 250).cast("string"))).alias("src_ip"),
-        _pick(kind, {"error": "HOST_LINUX", "view": "HOST_WINDOWS", "signup": "AUTH_LINUX",
-                     "click": "WEB_APP"}, "L3_L4").alias("act"),
+        F.when((kind == "signup") & odd, F.lit("AUTH_WINDOWS")).otherwise(
+            _pick(kind, {"error": "HOST_LINUX", "view": "HOST_WINDOWS", "signup": "AUTH_LINUX",
+                         "click": "WEB_APP"}, "L3_L4")).alias("act"),
         F.get_json_object("props", "$.k").cast("bigint").alias("dst_pt"),
         F.floor(F.col("value") * 100).cast("bigint").alias("b_in"),
         (seq % 1500).alias("b_out"),
         "payload",
         F.when(F.col("value") >= 100, F.lit(1.0)).otherwise(F.lit(0.0)).alias("base"),
-        _pick(kind, {"error": "Linux_2k.log_structured", "view": "Windows_2k.log_structured",
-                     "signup": "OpenSSH_2k.log_structured",
-                     "click": "Apache_2k.log_structured"},
-              "Friday-WorkingHours-Afternoon-DDos.pcap_ISCX").alias("dataset"),
+        F.when(odd & (kind == "signup"), F.lit(LANL)).when(odd & (kind == "purchase"), F.lit(MONDAY))
+        .otherwise(_pick(kind, {"error": LINUX, "view": WINDOWS, "signup": SSH, "click": APACHE},
+                         FRIDAY)).alias("dataset"),
     )
 
 

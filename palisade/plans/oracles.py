@@ -30,16 +30,17 @@ FRAMES = f"""frames AS (
     CASE WHEN user_id % 5 = 0 THEN '0.0.0.0'
          ELSE '10.0.0.' || CAST(user_id % 250 AS VARCHAR) END AS src_ip,
     CASE event_type WHEN 'error' THEN 'HOST_LINUX' WHEN 'view' THEN 'HOST_WINDOWS'
-      WHEN 'signup' THEN 'AUTH_LINUX' WHEN 'click' THEN 'WEB_APP' ELSE 'L3_L4' END AS act,
+      WHEN 'signup' THEN CASE event_id % 2 WHEN 1 THEN 'AUTH_WINDOWS' ELSE 'AUTH_LINUX' END
+      WHEN 'click' THEN 'WEB_APP' ELSE 'L3_L4' END AS act,
     CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS dst_pt,
     CAST(floor(value * 100) AS BIGINT) AS b_in, event_id % 1500 AS b_out,
     {_payload} AS payload,
     CASE WHEN value >= 100 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS base,
-    CASE event_type WHEN 'error' THEN 'Linux_2k.log_structured'
-      WHEN 'view' THEN 'Windows_2k.log_structured'
-      WHEN 'signup' THEN 'OpenSSH_2k.log_structured'
-      WHEN 'click' THEN 'Apache_2k.log_structured'
-      ELSE 'Friday-WorkingHours-Afternoon-DDos.pcap_ISCX' END AS dataset
+    CASE event_type WHEN 'error' THEN {_q(A.LINUX)} WHEN 'view' THEN {_q(A.WINDOWS)}
+      WHEN 'signup' THEN CASE event_id % 2 WHEN 1 THEN {_q(A.LANL)} ELSE {_q(A.SSH)} END
+      WHEN 'click' THEN {_q(A.APACHE)}
+      WHEN 'purchase' THEN CASE event_id % 2 WHEN 1 THEN {_q(A.MONDAY)} ELSE {_q(A.FRIDAY)} END
+      ELSE {_q(A.FRIDAY)} END AS dataset
   FROM events)"""
 
 _IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
@@ -188,10 +189,7 @@ def _injected(datasets: list[str]) -> str:
     range({C.INJECTED_PER_DATASET}) AS r(i))"""
 
 
-EVENT_DATASETS = [
-    "Friday-WorkingHours-Afternoon-DDos.pcap_ISCX", "Apache_2k.log_structured",
-    "OpenSSH_2k.log_structured", "Linux_2k.log_structured", "Windows_2k.log_structured",
-]
+EVENT_DATASETS = [name for name, _, _ in C.DATASETS]
 _ORDINAL = "CASE dataset " + " ".join(
     f"WHEN {_q(n)} THEN {i}" for i, n in enumerate(EVENT_DATASETS)) + " END"
 SAMPLED = """sampled AS (

@@ -482,10 +482,7 @@ def fusion_metrics(spark, sf_dir):
     return _rounded(evaluate.measures(evaluate.confusion(judged)))
 
 
-EVENT_DATASETS = [
-    "Friday-WorkingHours-Afternoon-DDos.pcap_ISCX", "Apache_2k.log_structured",
-    "OpenSSH_2k.log_structured", "Linux_2k.log_structured", "Windows_2k.log_structured",
-]
+EVENT_DATASETS = [name for name, _, _ in C.DATASETS]
 
 
 def _inject_start(frames: DataFrame) -> int:

@@ -37,6 +37,8 @@ _RANK_CUT = 1e-7      # directions the landmarks do not span are left out
 class TextModel(tfidf.Vectorizer):
     """Everything needed to score one layer's text."""
 
+    number = np.float32  # of term weights; a model may ask for more digits
+
     def __init__(self, tag: str, terms: list[str], idf: np.ndarray, gamma: float = 0.0,
                  landmarks: list[str] | None = None, weight: np.ndarray | None = None,
                  rho: float = 0.0):
@@ -52,7 +54,7 @@ class TextModel(tfidf.Vectorizer):
 
     def _landmark_rows(self) -> np.ndarray:
         if self._basis is None:
-            self._basis = np.zeros((len(self.landmarks), len(self.terms)), np.float32)
+            self._basis = np.zeros((len(self.landmarks), len(self.terms)), self.number)
             for row, line in enumerate(self.landmarks):
                 where, values = self.tfidf(line)
                 self._basis[row, where] = values
@@ -67,13 +69,13 @@ class TextModel(tfidf.Vectorizer):
             rows = [self.tfidf(t) for t in texts[start:start + _DENSE_ROWS]]
             used = sorted({i for where, _ in rows for i in where})
             place = {term: k for k, term in enumerate(used)}
-            dense = np.zeros((len(rows), len(used)), np.float32)
+            dense = np.zeros((len(rows), len(used)), self.number)
             for r, (where, values) in enumerate(rows):
                 dense[r, [place[i] for i in where]] = values
             apart = ((dense * dense).sum(axis=1)[:, None] + own
                      - 2.0 * (dense @ basis[:, used].T))
             parts.append(np.exp(-self.gamma * np.maximum(apart, 0.0)))
-        return np.concatenate(parts) if parts else np.zeros((0, len(own)), np.float32)
+        return np.concatenate(parts) if parts else np.zeros((0, len(own)), self.number)
 
     def whitening(self) -> np.ndarray:
         """Turns kernel rows into features whose products give the kernel back."""

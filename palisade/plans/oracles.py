@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from palisade import constants as C
 from palisade.plans import adapters as A
-from palisade.plans import fixed_forest
+from palisade.plans import fixed_forest, fixed_text
 
 BASE = "TIMESTAMP '2026-01-01 00:00:00'"
 
@@ -530,3 +530,45 @@ SQL["shapley_fixed"] = fixed_forest.sql(FLOWS) + (
 SQL["first_anomaly"] = fixed_forest.sql(FLOWS) + (
     f"SELECT seq, dst_pt, b_in, b_out, round(score, 9) AS score, {_SHAP} FROM explained "
     "WHERE prediction = -1 ORDER BY seq LIMIT 1")
+
+
+def _modelled(frames: str, before: str) -> str:
+    """``rescored``: the rows of ``frames`` with the verdicts of the given models as ``base``."""
+    layered = f"""layered AS (SELECT *, {_SPECIALIST} AS model FROM (
+  SELECT *, {_LAYER} AS tag FROM {frames})),
+flows AS (SELECT seq, coalesce(dst_pt, 0) AS dst_pt, coalesce(b_in, 0) AS b_in,
+  coalesce(b_out, 0) AS b_out FROM layered WHERE model = 'L3_L4')"""
+    return fixed_forest.sql(f"{before},\n{layered}").rstrip() + ",\n" + fixed_text.sql(
+        "SELECT model AS tag, payload AS line FROM layered WHERE model <> 'L3_L4'") + f""",
+rescored AS (SELECT l.* EXCLUDE (tag, model), l.tag AS layer, l.model, d.decision,
+    CASE WHEN d.decision < -1e-6 OR e.prediction = -1 THEN CAST(1.0 AS DOUBLE)
+      ELSE CAST(0.0 AS DOUBLE) END AS base
+  FROM layered l LEFT JOIN decided d ON d.tag = l.model AND d.line = l.payload
+  LEFT JOIN explained e ON e.seq = l.seq)"""
+
+
+_PLAIN = FRAMES + ", plain AS (SELECT * EXCLUDE (base) FROM frames)"
+_RECONSTRUCTED = _modelled("plain", _PLAIN)
+SQL["ocsvm_fixed"] = _RECONSTRUCTED + f"""
+SELECT seq, layer AS tag, model AS model_tag, round(decision, 9) AS decision,
+  CASE WHEN decision < -1e-6 THEN -1 ELSE 1 END AS prediction,
+  round(1 - 1 / (1 + exp(-decision)), 9) AS chance
+FROM rescored WHERE model <> 'L3_L4' AND NOT {_any('payload', C.WHITELIST)}"""
+SQL["reconstruction_fixed"] = _RECONSTRUCTED + ",\n" + ",\n".join(
+    [_enriched("rescored"), SUMS, BONUS, FUSED]) + "SELECT * FROM verdicts"
+SQL["evaluation_fixed"] = _modelled("ordered", ",\n".join([
+    FRAMES, SAMPLED, _injected(EVENT_DATASETS), f"""mixed AS (
+  SELECT dataset, src_ip, payload, act, seq, dst_pt, b_in, b_out FROM sampled
+  UNION ALL SELECT dataset, src_ip, payload, act, seq, NULL, NULL, NULL FROM injected),
+ordered AS (
+  SELECT dataset, src_ip, payload, act, dst_pt, b_in, b_out,
+    {_ORDINAL} * 1099511627776 + row_number() OVER (
+      PARTITION BY dataset ORDER BY md5('42:' || CAST(seq AS VARCHAR)), seq) - 1 AS seq,
+    {BASE} AS ts FROM mixed)"""])) + ",\n" + ",\n".join(
+        [_enriched("rescored"), SUMS, BONUS, FUSED]) + f""", judged AS (
+  SELECT model AS tag, {_truth()} AS truth, CASE WHEN base > 0 THEN 1 ELSE 0 END AS pred
+  FROM rescored
+  UNION ALL SELECT 'FUSION', {_truth('f.payload')}, CASE WHEN v.is_anomaly THEN 1 ELSE 0 END
+  FROM rescored f LEFT JOIN verdicts v ON f.seq = v.seq),
+cells AS (SELECT tag, {_CELLS} FROM judged GROUP BY tag)
+SELECT tag, {_MEASURES} FROM cells"""

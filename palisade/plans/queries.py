@@ -15,7 +15,7 @@ from palisade.operators import (
     sequence, snapshots, synth, tfidf,
 )
 from palisade.plans import adapters as A
-from palisade.plans import fixed_forest, live, pipeline
+from palisade.plans import fixed_forest, fixed_text, live, pipeline
 from palisade.sources import readers, sinks
 from palisade.streaming import fusion as stream_fusion_rows
 from palisade.streaming import snapshots as stream_snapshots
@@ -750,6 +750,37 @@ def ocsvm_score(spark, sf_dir):
         "seq", "tag", "model_tag", "decision", "prediction")
 
 
+@query
+def ocsvm_fixed(spark, sf_dir):
+    """Decisions, verdicts and probabilities of text models that are given."""
+    models = fixed_text.models()
+    found = ocsvm.predicted(ocsvm.decided(_text_frames(spark, sf_dir, models), models))
+    return found.select("seq", "tag", "model_tag", F.round("decision", 9).alias("decision"),
+                        "prediction", F.round(scoring.p_anomaly(F.col("decision")), 9).alias("chance"))
+
+
+def _fixed_models() -> pipeline.Models:
+    flow = pipeline.FlowModel(dict.fromkeys(C.FLOW_FEATURES, (0.0, 1.0)),
+                              forest.Forest(fixed_forest.nodes(), fixed_forest.SUBSAMPLE),
+                              fixed_forest.CUT)
+    return pipeline.Models(flow, fixed_text.models())
+
+
+@query
+def reconstruction_fixed(spark, sf_dir):
+    """The whole chain with given models; the evidence of words is left out."""
+    frames = A.event_frames(spark, sf_dir).drop("base")
+    return pipeline.reconstruct(frames, _fixed_models())[0].drop("forensics")
+
+
+@query
+def evaluation_fixed(spark, sf_dir):
+    """The evaluation of every layer and of the fusion with given models."""
+    frames = A.event_frames(spark, sf_dir).drop("base")
+    return _rounded(pipeline.evaluation(
+        frames, EVENT_DATASETS, _fixed_models(), _inject_start(frames)))
+
+
 @query
 def lime_evidence(spark, sf_dir):
     models = trained(spark, sf_dir, "text").text

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,7 +26,8 @@ from palisade.operators.quantiles import exact_quantiles
 
 LANDMARKS = 512
 COVER_ROUNDS = 4      # passes that look for lines the landmarks do not cover yet
-ROUNDS = 20
+ROUNDS = 200          # at most; a layer stops when its gap is within the tolerance
+TOLERANCE = 0.02      # gap to the shortest vector, as a share of its squared length
 SCORE_BINS = 4096
 TIE = 1e-6            # single-precision features: scores closer than this are equal
 _DENSE_ROWS = 512
@@ -41,10 +41,10 @@ class TextModel(tfidf.Vectorizer):
 
     def __init__(self, tag: str, terms: list[str], idf: np.ndarray, gamma: float = 0.0,
                  landmarks: list[str] | None = None, weight: np.ndarray | None = None,
-                 rho: float = 0.0):
+                 rho: float = 0.0, gap: float = 0.0):
         analyzer, shortest, longest, self.nu = C.TEXT_PROFILES[tag]
         super().__init__(analyzer, shortest, longest, terms, idf)
-        self.tag, self.gamma, self.rho = tag, gamma, rho
+        self.tag, self.gamma, self.rho, self.gap = tag, gamma, rho, gap
         self.landmarks = landmarks or []
         self.weight = np.zeros(len(self.landmarks)) if weight is None else weight
         self._basis = None
@@ -268,16 +268,14 @@ def _sums(z: DataFrame, weights: dict[str, np.ndarray] | None,
             yield pd.DataFrame([(t, p, mass[t, p], v.tolist()) for (t, p), v in total.items()],
                                columns=["tag", "part", "n", "v"])
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        return pd.DataFrame([(first["tag"], int(first["part"]), group["n"].sum(),
-                              np.sum(np.stack(group["v"].to_list()), axis=0).tolist())],
-                            columns=["tag", "part", "n", "v"])
-
-    layout = "tag string, part int, n double, v array<double>"
-    rows = z.mapInPandas(add, layout).groupBy("tag", "part").applyInPandas(
-        merge, layout).collect()
-    return {(r["tag"], r["part"]): (r["n"], np.array(r["v"])) for r in rows}
+    parts = z.mapInPandas(add, "tag string, part int, n double, v array<double>")
+    # A row per vector place: sums are taken before and after the shuffle, in no one task.
+    rows = parts.select("tag", "part", F.posexplode(F.concat(F.array("n"), "v"))).groupBy(
+        "tag", "part", "pos").agg(F.sum("col").alias("v")).orderBy("tag", "part", "pos").collect()
+    out: dict[tuple[str, int], list[float]] = {}
+    for r in rows:
+        out.setdefault((r["tag"], r["part"]), []).append(r["v"])
+    return {key: (v[0], np.array(v[1:])) for key, v in out.items()}
 
 
 def _tail_edge(held: np.ndarray, mass: float) -> tuple[int, float]:
@@ -308,44 +306,56 @@ def _shortest(points: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 def fit(lines: DataFrame, tags: list[str], seed: int = C.FOREST_SEED,
         landmarks: int = LANDMARKS, rounds: int = ROUNDS, size: int = C.VOCABULARY_SIZE,
-        tolerance: float = 1e-4) -> dict[str, TextModel]:
-    """Models of all layers from ``corpus`` lines."""
-    spark = lines.sparkSession
+        tolerance: float = TOLERANCE) -> dict[str, TextModel]:
+    """Models of all layers from ``corpus`` lines, each with a certificate.
+
+    The lowest-scoring share of the rows bounds the optimum from below, so a round also tells how
+    far half the squared length of the vector can be from the least one. That gap, as a share of
+    the squared length, is stored; a layer leaves the rounds when it is within ``tolerance``, and
+    one that is not after ``rounds`` ends the training with an error.
+    """
     lines = session.spread(session.materialize(lines, "corpus"))
     models = _untrained(lines, tags, size)
     _set_gamma(lines, models)
     _set_landmarks(lines, models, seed, landmarks)
     whitening = {tag: models[tag].whitening() for tag in tags}
-    z = _feature_rows(lines, models, whitening).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        means = _sums(z, None, None)
-        total = {tag: means[tag, 0][0] for tag in tags}
-        points = {tag: (means[tag, 0][1] / total[tag])[None, :] for tag in tags}
-        shares = {tag: np.ones(1) for tag in tags}
-        weights = {tag: points[tag][0] for tag in tags}
-        for _ in range(rounds):
-            held = _histogram(z, weights)
-            ends = {t: _tail_edge(held[t], models[t].nu * total[t]) for t in tags}
-            sums = _sums(z, weights, {t: ends[t][0] for t in tags})
-            gap = 0.0
-            for tag in tags:
-                low = sums.get((tag, 0), (0.0, 0.0))[1]
-                edge = sums.get((tag, 1), (0.0, 0.0))[1]
-                target = (low + ends[tag][1] * edge) / (models[tag].nu * total[tag])
-                gap = max(gap, float(weights[tag] @ (weights[tag] - target)))
+    z = session.materialize(_feature_rows(lines, models, whitening), "features")
+    means = _sums(z, None, None)
+    total = {tag: means[tag, 0][0] for tag in tags}
+    points = {tag: (means[tag, 0][1] / total[tag])[None, :] for tag in tags}
+    shares = {tag: np.ones(1) for tag in tags}
+    weights = {tag: points[tag][0] for tag in tags}
+    open_tags = list(tags)
+    for _ in range(rounds):
+        rows = z.where(F.col("tag").isin(open_tags))
+        own = {t: weights[t] for t in open_tags}
+        held = _histogram(rows, own)
+        ends = {t: _tail_edge(held[t], models[t].nu * total[t]) for t in open_tags}
+        sums = _sums(rows, own, {t: ends[t][0] for t in open_tags})
+        for tag in open_tags:
+            low = sums.get((tag, 0), (0.0, 0.0))[1]
+            edge = sums.get((tag, 1), (0.0, 0.0))[1]
+            target = (low + ends[tag][1] * edge) / (models[tag].nu * total[tag])
+            squared = float(weights[tag] @ weights[tag])
+            models[tag].gap = max(float(weights[tag] @ (weights[tag] - target)), 0.0) / (squared or 1.0)
+            if models[tag].gap > tolerance:
                 points[tag] = np.vstack([points[tag], target])
                 shares[tag] = _shortest(points[tag], np.append(shares[tag], 0.0))
                 weights[tag] = shares[tag] @ points[tag]
-            if gap < tolerance:
-                break
-        scored = _scores(z, weights).select(
-            F.col("tag").alias("name"), F.col("score").alias("x"), "weight")
-        rho = exact_quantiles(scored, {t: [models[t].nu] for t in tags}, method="lower")
-        for tag in tags:
-            models[tag].weight = whitening[tag] @ weights[tag]
-            models[tag].rho = rho[tag][0]
-    finally:
-        z.unpersist()
+                kept = shares[tag] > 0
+                points[tag], shares[tag] = points[tag][kept], shares[tag][kept]
+        open_tags = [t for t in open_tags if models[t].gap > tolerance]
+        if not open_tags:
+            break
+    else:
+        raise RuntimeError("no margin within the tolerance: " + ", ".join(
+            f"{t} {models[t].gap:.2g}" for t in open_tags))
+    scored = _scores(z, weights).select(
+        F.col("tag").alias("name"), F.col("score").alias("x"), "weight")
+    rho = exact_quantiles(scored, {t: [models[t].nu] for t in tags}, method="lower")
+    for tag in tags:
+        models[tag].weight = whitening[tag] @ weights[tag]
+        models[tag].rho = rho[tag][0]
     return models
 
 
@@ -383,11 +393,12 @@ def to_tables(spark: SparkSession, models: dict[str, TextModel]) -> dict[str, Da
              for i, term in enumerate(m.names)]
     svm = [(t, i, line, float(m.weight[i])) for t, m in models.items()
            for i, line in enumerate(m.landmarks)]
-    settings = [(t, float(m.rho), float(m.gamma)) for t, m in models.items()]
+    settings = [(t, float(m.rho), float(m.gamma), float(m.gap)) for t, m in models.items()]
     return {
         "vocab": spark.createDataFrame(vocab, "tag string, term string, idx int, idf double"),
         "svm": spark.createDataFrame(svm, "tag string, idx int, payload string, weight double"),
-        "svm_settings": spark.createDataFrame(settings, "tag string, rho double, gamma double"),
+        "svm_settings": spark.createDataFrame(settings, "tag string, rho double, gamma double,"
+                                              " gap double"),
     }
 
 
@@ -399,5 +410,5 @@ def from_tables(vocab: DataFrame, svm: DataFrame, settings: DataFrame) -> dict[s
         kept = lines[lines["tag"] == row["tag"]].sort_values("idx")
         models[row["tag"]] = TextModel(
             row["tag"], own["term"].tolist(), own["idf"].to_numpy(), row["gamma"],
-            kept["payload"].tolist(), kept["weight"].to_numpy(), row["rho"])
+            kept["payload"].tolist(), kept["weight"].to_numpy(), row["rho"], row["gap"])
     return models

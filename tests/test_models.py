@@ -221,3 +221,25 @@ def test_reconstruction_explains_flagged_frames(spark, flow_models, text_models)
     assert got[3]["score"] == 0.63 and got[3]["is_anomaly"]  # correlated with the host layer
     assert got[4]["score"] == 0.0 and got[4]["forensics"] == [C.EVIDENCE_DEFAULT]
     assert {r["seq"] for r in alerts.collect()} == {0, 1, 2, 3}
+
+
+def test_margin_comes_with_a_certificate(spark):
+    """The stored gap bounds the distance to the best vector, and too few rounds are an error."""
+    lines = [(f"user{k % 7} opened port {k % 11} on host{k % 5}",) for k in range(400)]
+    layers = {"HOST_LIN": spark.createDataFrame(lines, "payload string")}
+    rows = ocsvm.corpus(layers)
+    loose = ocsvm.fit(rows, ["HOST_LIN"], tolerance=0.2)["HOST_LIN"]
+    tight = ocsvm.fit(rows, ["HOST_LIN"], tolerance=0.002)["HOST_LIN"]
+
+    def squared(model):
+        kernel = model.kernel(model.landmarks).astype(float)
+        return model.weight @ kernel @ model.weight
+
+    assert tight.gap <= 0.002 and loose.gap <= 0.2
+    # Half the squared length lies above the least one by the gap at most.
+    assert squared(tight) * (1 - 2 * tight.gap) <= squared(loose) * (1 + 1e-4)
+    assert squared(loose) * (1 - 2 * loose.gap) <= squared(tight) * (1 + 1e-4)
+    tables = ocsvm.to_tables(spark, {"HOST_LIN": tight})
+    assert ocsvm.from_tables(*tables.values())["HOST_LIN"].gap == tight.gap
+    with pytest.raises(RuntimeError, match="HOST_LIN"):
+        ocsvm.fit(rows, ["HOST_LIN"], rounds=1, tolerance=1e-9)

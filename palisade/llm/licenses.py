@@ -5,9 +5,18 @@ with the smallest hash goes into an inverted index, so any K + W - 1 characters
 with a template hit it. A hit says where the template would lie; there the words of text and
 template are aligned in a band around that diagonal.
 
+Licences differ by single words. In a notice the words that decide (version numbers, "Lesser",
+"NC", ...) must all be matched, and none may be put in between; words put in between count against
+the coverage of any template. A text whose licence is not in the table is thus left unnamed. The
+templates (``license_texts``: 28 licences as sentences name them, notices, and short full texts)
+are an argument; their index is broadcast with the code and grows with the templates only. Of the
+long licences (GNU, Apache, Mozilla, Boost) the title line and the notice are in the table, not the
+body.
+
 Defined results: a null text is the empty text and matches nothing; repeated rows give a row
-each; of overlapping matches the one with the larger coverage stays, then the longer one, then
-the first by name; an empty table gives an empty result. Other columns are left out.
+each; of overlapping matches the one nearest to its template stays (matched words less missing and
+added ones), then the first by name; an empty table gives an empty result. Other columns are left
+out.
 """
 
 from __future__ import annotations
@@ -21,39 +30,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm import license_texts
 from palisade.llm.common import mixed, whole_text
 
-#: Fixed texts of public licences: notices, and one full text.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this '
-        "file except in compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed "
-        'to in writing, software distributed under the License is distributed on an "AS IS" '
-        "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the "
-        "License for the specific language governing permissions and limitations under the "
-        "License."),
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
-        'software and associated documentation files (the "Software"), to deal in the Software '
-        "without restriction, including without limitation the rights to use, copy, modify, "
-        "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-        "permit persons to whom the Software is furnished to do so, subject to the following "
-        "conditions: The above copyright notice and this permission notice shall be included in "
-        'all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", '
-        "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
-        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
-}
+TEMPLATES = license_texts.templates()
 
 K, W = 12, 8
 #: Words by which an alignment may leave its diagonal, for each 10 words of the template.
 BAND_SHARE = 3
-#: Share of a template's words that a match has to cover.
-COVERAGE = 0.7
+#: Least coverage: matched words against those of the template and those put in between.
+COVERAGE = 0.8
+#: Up to this many words a template is a notice, in which every deciding word counts.
+NOTICE_WORDS = 80
 
 _KEEP = np.zeros(256, np.uint8)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
@@ -91,12 +79,18 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
     return np.unique(runs.argmin(1) + np.arange(len(runs)))
 
 
+def decides(word: str) -> bool:
+    return word in license_texts.DECIDING or any(c.isdigit() for c in word)
+
+
 class Index:
     """Inverted index of the templates' fingerprints."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = [_WORD.findall(templates[n].lower()) for n in self.names]
+        self.deciding = [{w for w in words if decides(w)} if len(words) <= NOTICE_WORDS else set()
+                         for words in self.words]
         entries = []
         self.lengths = []
         for k, name in enumerate(self.names):
@@ -165,8 +159,39 @@ def aligned(a: list[str], b: list[str], band: int) -> tuple[int, int, int]:
     return best
 
 
+def unmatched(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
+    """Places of ``a`` and of ``b`` that a longest common subsequence leaves out."""
+    rows = [[0] * (len(b) + 1)]
+    for w in a:
+        above, row = rows[-1], [0]
+        for j, v in enumerate(b):
+            row.append(above[j] + 1 if w == v else max(above[j + 1], row[j]))
+        rows.append(row)
+    left, right = set(range(len(a))), set(range(len(b)))
+    i, j = len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            left.discard(i)
+            right.discard(j)
+        elif rows[i - 1][j] >= rows[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return left, right
+
+
+def fits(template: list[str], deciding: set[str], stretch: list[str]) -> bool:
+    """Whether all deciding words are matched and none is put in between."""
+    if not deciding:
+        return True
+    missing, added = unmatched(template, stretch)
+    return not (any(template[k] in deciding for k in missing)
+                or any(decides(stretch[k]) and stretch[k] != "by" for k in added))
+
+
 def matches(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple]:
-    """(start, end, template, coverage) of the licences in a text, by start; code points."""
+    """(start, end, licence, coverage) of the licences in a text, by start; code points."""
     x, at = letters(text)
     parts = index.candidates(x)
     if not parts:
@@ -177,14 +202,23 @@ def matches(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple]:
         first, last = int(at[low]), int(at[high - 1]) + 1
         own = [(m.start() + first, m.end() + first, m[0].decode())
                for m in re.finditer(rb"[a-z0-9]+", raw[first:last].lower())]
-        template = index.words[k]
+        template, deciding = index.words[k], index.deciding[k]
         band = max(2, len(template) * BAND_SHARE // 10)
-        while own:
-            n, a, b = aligned(template, [w for _, _, w in own], band)
+        todo = [own]
+        while todo:
+            own = todo.pop()
+            words = [w for _, _, w in own]
+            if len(words) < coverage * len(template) or not deciding.issubset(words):
+                continue
+            n, a, b = aligned(template, words, band)
+            added = b - a + 1 - n
             if n < coverage * len(template):
-                break
-            found.append((n, n / len(template), own[a][0], own[b][1], index.names[k]))
-            own = own[b + 1:]
+                continue
+            todo += [own[:a], own[b + 1:]]  # copies before and after this one
+            cover = n / (len(template) + added)
+            if cover >= coverage and fits(template, deciding, words[a:b + 1]):
+                found.append((2 * n - len(template) - added, cover, own[a][0], own[b][1],
+                              index.names[k].partition("/")[0]))
     found.sort(key=lambda m: (-m[0], -m[1], m[4], m[2]))
     kept: list[tuple] = []
     for _, cover, a, b, name in found:

@@ -256,36 +256,81 @@ def test_components_of_long_chains_in_any_order(spark):
     assert got == {**dict.fromkeys(range(5001), 0), **dict.fromkeys(range(10_000, 12_001), 10_000)}
 
 
+INDEX = licenses.Index(licenses.TEMPLATES)
+
+
+def test_licences_that_differ_by_a_word():
+    for text, name in {
+            "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+            "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+            "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+            "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+            "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 2.0.": None,
+            "Licensed under the Apache License, Version 1.1": "Apache-1.1",
+            "Licensed under the Apache License, Version 1.0": None,
+            "Released under the GNU Library General Public License, version 3": None,
+            "Licensed under the BSD 4-Clause License.": None,
+            "Distributed under the Mozilla Public License, version 2.0": "MPL-2.0",
+            licenses.license_texts.TEXTS["GPL-3.0"][0]: "GPL-3.0",
+            licenses.license_texts.TEXTS["BSD-3-Clause"][0]: "BSD-3-Clause",
+            licenses.license_texts.TEXTS["BSD-2-Clause"][0]: "BSD-2-Clause"}.items():
+        found = [m[2] for m in licenses.matches(PROSE + text + " " + PROSE, INDEX)]
+        assert found == ([name] if name else []), (text, found)
+
+
+def full_alignment(a, b):
+    best = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, w in enumerate(a):
+        for j, v in enumerate(b):
+            best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j],
+                                     best[i, j] + 1 if w == v else 0)
+    return best[-1, -1]
+
+
 def test_licences_against_full_alignment():
-    """Found matches cover what an unbanded alignment of the whole text covers."""
+    """Every template is found whole; edited ones cover what an unbanded alignment covers."""
     rng = np.random.default_rng(10)
-    index = licenses.Index(licenses.TEMPLATES)
-    for name, template in licenses.TEMPLATES.items():
-        for edits in (0, 1, len(template.split()) // 10):
-            own = template.split()
-            for place in rng.choice(len(own), edits, replace=False):
-                own[place] = "EDITED"
-            runs = " ".join(own).split("EDITED")
-            if max(len(licenses.letters(r)[0]) for r in runs) < licenses.K + licenses.W - 1:
-                continue  # shorter runs need not be found
-            before, after = PROSE * 2, " " + PROSE
-            text = "é " + before + " ".join(own) + after
-            a = licenses._WORD.findall(template.lower())
-            b = licenses._WORD.findall(text.lower())
-            best = np.zeros((len(a) + 1, len(b) + 1), int)
-            for i, w in enumerate(a):
-                for j, v in enumerate(b):
-                    best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j],
-                                             best[i, j] + 1 if w == v else 0)
-            found = [m for m in licenses.matches(text, index) if m[2] == name]
+    for k, (name, template) in enumerate(sorted(licenses.TEMPLATES.items())):
+        words, name = template.split(), name.partition("/")[0]
+        free = [i for i, w in enumerate(words) if not any(
+            licenses.decides(x) for x in licenses._WORD.findall(w.lower()))]
+        for edits in (0, len(words) // 12):
+            if len(words) < 24 and k % 7 or len(free) < edits:
+                continue
+            own = list(words)
+            for place in rng.choice(free, edits, replace=False):
+                own[place] = "edited"
+            text = "é " + PROSE * 2 + " ".join(own) + " " + PROSE
+            found = licenses.matches(text, INDEX)
+            assert [m[2] for m in found] == [name], (template, found)
             (start, end, _, coverage), = found
-            assert abs(coverage * len(a) - best[-1, -1]) <= 2
-            inside = text[start:end]
-            assert len(set(own) - set(inside.split())) <= edits + 1
+            a = licenses._WORD.findall(template.lower())
+            inside = licenses._WORD.findall(text[start:end].lower())
+            n = full_alignment(a, licenses._WORD.findall(text.lower()))
+            assert full_alignment(a, inside) >= n - 2
+            assert abs(coverage - n / (len(a) + len(inside) - n)) < 0.1
+
+
+def test_an_edited_copy_before_an_exact_one():
+    whole = licenses.license_texts.TEXTS["ISC"][0]
+    edited = whole.replace("any purpose", "each aim").replace("hereby", "herewith")
+    found = licenses.matches(edited + " " + whole + " " + edited, INDEX)
+    assert [m[2] for m in found] == ["ISC"] * 3 and found[1][3] == 1.0 > found[0][3]
+
+
+def test_unmatched_against_counts():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (["abcd"[k] for k in rng.integers(0, 4, rng.integers(0, 9))] for _ in range(2))
+        left, right = licenses.unmatched(a, b)
+        assert len(a) - len(left) == len(b) - len(right) == full_alignment(a, b)
+        assert [w for k, w in enumerate(a) if k not in left] == [
+            w for k, w in enumerate(b) if k not in right]
 
 
 def test_licences_odd_rows(spark, odd, empty):
-    rows = [(50, PROSE * 200 + licenses.TEMPLATES["MIT"] + "\n" + licenses.TEMPLATES["GPL-3.0"]),
+    rows = [(50, PROSE * 200 + "Released under the MIT License.\n"
+             "This work is licensed under the GNU General Public License, version 3."),
             (51, "licensed under nothing at all, version 3")]
     got = {r.doc_id: r for r in licenses.scanned(documents(spark, rows).union(odd)).collect()}
     assert got[50].n_matches == 2 and got[50].coverage == 1.0 and got[50].license == "GPL-3.0"

@@ -2,10 +2,11 @@
 
 The fixed patterns label the text they match. The tagger is trained in numpy on a bounded sample
 of windows labelled that way, some of them with the marks removed that the patterns rely on (a
-plus sign, an at sign, dots), so that it learns what such data looks like in its surroundings. All
-kinds hold a digit, an at sign or the word that spells it, so the tagger reads the stretches
-around those: windows overlap, their tag scores are merged where the windows are surest, and one
-decoding runs over each whole stretch.
+plus sign, an at sign, dots) and with other words and numbers in their place, so that it learns
+what such data looks like in its surroundings. All kinds hold a digit, an at sign or the word that
+spells it, so the tagger reads the stretches around those: windows overlap, their tag scores are
+merged where the windows are surest, and one decoding runs over each whole stretch. A span that
+cuts a word is widened to it; an address without a plain at sign must read as a spelled one.
 
 Defined results: a null text is the empty text and has no spans; repeated rows give a row each;
 an empty table, or one without a labelled span, trains nothing and adds nothing. Other columns
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,16 +49,18 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TRIGGER = re.compile("[0-9@]+")
 #: At signs and dots that are spelled out, in brackets or not.
-MARK = re.compile(r"\b(?:at|dot)\b", re.I)
+MARK = re.compile(r"(?<![^\W\d_])(?:at|dot)(?![^\W\d_])|\(a\)", re.I)
 #: Most characters of the parts of an address before and after the at sign (RFC 5321).
 LOCAL_MOST, DOMAIN_MOST = 64, 255
 _AFTER = re.compile(rf"[\s)\]}}>]{{0,4}}\S{{0,{DOMAIN_MOST}}}")
-_AT, _DOT = (rf"\s{{0,2}}[(\[{{<]?\s?\b{w}\b\s?[)\]}}>]?\s{{0,2}}" for w in ("at", "dot"))
+_AT, _DOT = (rf"(?:\s{{0,2}}[(\[{{<]?\s?\b{w}\b\s?[)\]}}>]?\s{{0,2}}|_{w}_{more})"
+             for w, more in (("at", r"|\(a\)|\s{1,2}@\s{1,2}"), ("dot", "")))
 #: An address whose at sign is spelled out, with dots of either kind.
 SPELLED = re.compile(rf"[\w%+-]{{1,{LOCAL_MOST}}}(?:(?:\.|{_DOT})[\w%+-]{{1,{LOCAL_MOST}}}){{0,9}}{_AT}"
                      rf"[\w-]{{1,63}}(?:(?:\.|{_DOT})[\w-]{{1,63}})+", re.I)
 #: How disguised training windows spell an at sign and a domain's dots.
-AT_FORMS, DOT_FORMS = (" (at) ", " at ", "(at)", " [at] "), (".", ".", " dot ", "(dot)", ".")
+AT_FORMS = (" (at) ", " at ", "(at)", " [at] ", " AT ", "_at_", "(a)", " @ ")
+DOT_FORMS = (".", ".", " dot ", "(dot)", ".")
 NOT_DIGIT = re.compile("[^0-9]")
 
 
@@ -194,17 +198,52 @@ def disguised(window: str, tags: np.ndarray, form: int = 0) -> tuple[str, np.nda
     return "".join(chars), np.array(kept + [0] * (WINDOW - len(kept)), np.int64)
 
 
+#: Endings of domains, and ways to write a number without a country code, in varied windows.
+ENDINGS = ("com", "org", "net", "edu", "de", "fr", "io", "co.uk", "info")
+NUMBERS = ("{0} {1} {2}", "{0}-{1}-{2}", "0{0} {1}{2}", "00{0} {1} {2}", "({0}) {1} {2}")
+
+
+def varied(window: str, tags: np.ndarray, form: int = 0) -> tuple[str, np.ndarray]:
+    """The window with other spans of the same kind: an e-mail made of words from around it, a
+    phone with its digits in other groups."""
+    words = [w.lower() for w in re.findall("[A-Za-z]{3,9}", "".join(
+        c if not t else " " for c, t in zip(window, tags)))] or ["name", "place"]
+    chars, kept, k = [], [], 0
+    while k < len(window):
+        end = k + 1
+        if tags[k] % 2:
+            while end < len(window) and tags[end] == tags[k] + 1:
+                end += 1
+        own, kind = window[k:end], KINDS[(tags[k] - 1) // 2] if tags[k] % 2 else ""
+        if kind == "email":
+            own = words[form % len(words)] + (f".{words[form // 2 % len(words)]}" if form % 3 == 0 else "")
+            own += f"@{words[form // 3 % len(words)]}.{ENDINGS[form % len(ENDINGS)]}"
+        elif kind == "phone":
+            digits = NOT_DIGIT.sub("", own)[-10:]
+            own = NUMBERS[form % len(NUMBERS)].format(digits[:3], digits[3:6], digits[6:])
+        chars += own
+        kept += [tags[k], *[tags[k] + tags[k] % 2] * (len(own) - 1)] if end > k + 1 or kind else [tags[k]]
+        k = end
+    kept = [int(t) for t in kept[:WINDOW]]
+    return "".join(chars[:WINDOW]), np.array(kept + [0] * (WINDOW - len(kept)), np.int64)
+
+
 def fitted(docs: DataFrame) -> Tagger | None:
     """A tagger trained on the driver from the bounded sample; None without a labelled span."""
     rows = sorted((r["kind"], r["window"], r["tags"]) for r in labelled_windows(docs).collect())
     if not any(kind for kind, _, _ in rows):
         return None
-    x, y = [], []
+    x, y, counts = [], [], Counter(kind for kind, _, _ in rows)
     for k, (kind, window, digits) in enumerate(rows):
         tags = np.array(list(map(int, digits)))
         forms = [(window, tags)]
         if kind == "email" or kind == "phone" and k % 2:
             forms.append(disguised(window, tags, k))
+        if kind in ("email", "phone"):
+            # As many variants in all, however few windows the corpus gives.
+            for n in range(k, k + 7 * max(1, FIT_PER_KIND // counts[kind]), 7):
+                other = varied(window, tags, n)
+                forms.append(disguised(*other, n // 2) if kind == "email" else other)
         for text, own in forms:
             ids = np.full(WINDOW, PAD)
             found = classes_of(text)
@@ -264,6 +303,25 @@ def _decoded(tagger: Tagger, texts: list[str], parts: list[tuple[int, int, int]]
 FEWEST_DIGITS = {"email": 0, "ip": 4, "card": 12, "phone": 9}
 
 
+#: Longest piece by which a span is widened to whole words.
+WIDEN_MOST = 64
+
+
+def whole_words(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
+    """The span with the rest of the words that it cuts; of an address also its further labels."""
+    def inner(k: int) -> bool:
+        c = text[k]
+        return c.isalnum() or kind == "email" and c in ".-_+%" and 0 < k < len(text) - 1 and (
+            text[k - 1].isalnum() and text[k + 1].isalnum())
+
+    low, high = max(0, a - WIDEN_MOST), min(len(text), b + WIDEN_MOST)
+    while a > low and text[a].isalnum() and inner(a - 1):
+        a -= 1
+    while b < high and (text[b - 1].isalnum() or text[b - 1] in ".-_+%") and inner(b):
+        b += 1
+    return a, b
+
+
 def _spans(text: str, start: int, tags: list[int]) -> list[tuple[int, int, str]]:
     found, k, n = [], 0, len(tags)
     while k < n:
@@ -279,22 +337,25 @@ def _spans(text: str, start: int, tags: list[int]) -> list[tuple[int, int, str]]
             a += 1
         while a < b and text[b - 1].isspace():
             b -= 1
+        a, b = whole_words(text, a, b, name)
+        k = max(k, b - start)
         own = text[a:b]
         digits = sum("0" <= c <= "9" for c in own)
+        if name == "ip" and any(int(p) > 255 for p in own.split(".") if 0 < len(p) < 9 and p.isdecimal()):
+            continue
         if digits < FEWEST_DIGITS[name] or name == "ip" and own.count(".") < 3:
             continue
-        if name == "email" and "@" not in own:
+        if name == "email" and ("@" not in own or " " in own):
             # The whole address counts when the tagger has found a part of it.
             low, high = max(start, a - LOCAL_MOST - 8), min(start + n, b + DOMAIN_MOST)
             whole = next((m.span() for m in SPELLED.finditer(text, low, high)
                           if m.start() < b and a < m.end()), None)
-            if whole:
-                a, b = whole
-                k = max(k, b - start)
-                while found and found[-1][0] >= a:
-                    found.pop()
-            elif "." not in own or "at" not in own:
+            if not whole:
                 continue
+            a, b = whole
+            k = max(k, b - start)
+            while found and found[-1][0] >= a:
+                found.pop()
         elif name == "email" and "." not in own:
             continue
         if name in ("card", "phone") and sum(c.isalpha() for c in own):

@@ -366,3 +366,29 @@ def test_pipeline_on_an_empty_table(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.collect() == []
+
+
+def test_pii_held_out_disguises(tagger):
+    """Forms, names and endings that no training window holds are found whole; prose is left alone."""
+    before, after = "As he wrote in the spring, please write to ", " before the end of the week."
+    names = ["kate", "j.smith", "maria.lopez", "bob", "info", "tim_miller"]
+    domains = ["school.edu", "uni.se", "work.example.ch", "mail.shop.nl", "bank.at"]
+    signs = ["{at}", " (AT) ", "<at>", " [AT] ", " at ", "_at_", "(a)", " @ "]
+    caught = total = 0
+    for i, name in enumerate(names):
+        for j, domain in enumerate(domains):
+            for sign in signs[(i + j) % 2::2]:
+                own = name + sign + domain
+                text = before + own + after
+                found = [text[a:b] for a, b, k in pii.all_spans(tagger, [text])[0][1]]
+                total += 1
+                caught += own in found
+                assert all(own in f or f in own for f in found if "@" not in f), (own, found)
+    assert caught >= 0.9 * total, (caught, total)
+    numbers = ["269 555 3296", "(269) 555-3296", "269-555-3296", "0269 555 3296"]
+    for number in numbers:
+        text = before.replace("write to", "call") + number + after
+        assert (text.index(number), text.index(number) + len(number), "phone") in pii.all_spans(
+            tagger, [text])[0][1], number
+    text = "We met at noon. At two we left. Look at that. Then dot the page, version 10.0.0.300 of it."
+    assert pii.all_spans(tagger, [text])[0][1] == []

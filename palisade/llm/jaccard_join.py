@@ -164,11 +164,15 @@ def grouped(docs: DataFrame) -> DataFrame:
     A band's smallest text is found before rows are moved; every text of the band is then linked
     to it, and connected texts form a group.
     """
-    rows = materialize(banded(docs), "bands")
+    # Copies send their bands once.
+    rows = materialize(banded(docs).groupBy("key").agg(F.first("bands").alias("bands")), "bands")
     each = rows.select("key", F.explode("bands").alias("band"))
     meeting = each.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    meeting = meeting.where(F.col("low") != F.col("high")).select("band", "low")
-    # Both joins are of tables that grow alike, so they are merged at every size.
+    # Both joins are of tables that grow alike, so they are merged at every size. The side with a
+    # row per band is written first: joined as it leaves the aggregation, it would keep adaptive
+    # execution from cutting a hot band.
+    meeting = materialize(
+        meeting.where(F.col("low") != F.col("high")).select("band", "low"), "meeting")
     links = each.join(meeting.hint("merge"), "band").where(F.col("key") != F.col("low"))
     groups = components(links.select(F.col("key").alias("a"), F.col("low").alias("b")).distinct())
     return groups.select(F.col("node").alias("key"), F.col("component").alias("grp"))
@@ -195,9 +199,10 @@ def links(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     members = texts.join(groups.hint("merge"), "key")
     members = materialize(members.mapInPandas(
         shingles, "key long, grp long, shingles array<long>"), "sets")
-    sizes = members.groupBy("grp").agg(
+    sizes = materialize(members.groupBy("grp").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_TEXTS),
-                   F.ceil(F.sum(F.size("shingles")) / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+                   F.ceil(F.sum(F.size("shingles")) / CHUNK_SHINGLES)).cast("int").alias("chunks")),
+        "sizes")
     dealt = members.join(sizes, "grp").withColumn(
         "chunk", F.pmod(F.xxhash64("key", F.lit(5)), F.col("chunks")).cast("int"))
     dealt = dealt.select("key", "grp", "shingles", "chunk", F.explode(
@@ -255,15 +260,16 @@ def text_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "texts")
     counts = found.groupBy(F.col("key").alias("k")).agg(F.sum("n_links").alias("n_links"))
     groups = components(found.select(F.col("key").alias("a"), F.col("near").alias("b")))
-    rows = texts.join(counts, F.col("key") == F.col("k"), "left").join(
+    rows = materialize(texts.join(counts, F.col("key") == F.col("k"), "left").join(
         groups, F.col("key") == F.col("node"), "left").select(
         "key", "first_id", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "key").alias("grp"))
+        F.coalesce("component", "key").alias("grp")), "grouped")
     # The first text of a group names its class: the smallest id, and among equal ids (or none)
     # the smallest key.
     order = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "key")
-    heads = rows.groupBy("grp").agg(F.min(order).alias("head")).select(
-        "grp", F.col("head.first_id").alias("class_id"), F.col("head.key").alias("class_key"))
+    heads = materialize(rows.groupBy("grp").agg(F.min(order).alias("head")).select(
+        "grp", F.col("head.first_id").alias("class_id"), F.col("head.key").alias("class_key")),
+        "heads")
     return materialize(rows.join(heads, "grp").drop("grp"), "classes")
 
 

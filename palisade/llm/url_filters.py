@@ -136,8 +136,8 @@ def judged(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """Host, path, rule, verdict and alias group of every page.
 
     Only canonical forms that a tag or refresh links go through the component search. The
-    decisions of a group are two flags, gathered before rows are moved; pages of a hot group are
-    cut by the adaptive skew join, since the flags have one row per group.
+    decisions of a group are two flags, gathered before rows are moved and written, one row per
+    group; so the adaptive skew join can cut the pages of a hot group.
     """
     url = F.col("url").cast("string")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"),
@@ -151,9 +151,10 @@ def judged(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
         "page_id", "host", "path", "rule",
         F.coalesce("component", "form").alias("alias_group")), "pages")
     own = verdict_of(F.col("rule"), rules)
-    decided = tagged.where(F.col("rule").isNotNull() & F.col("alias_group").isNotNull()).groupBy(
+    decided = materialize(tagged.where(
+        F.col("rule").isNotNull() & F.col("alias_group").isNotNull()).groupBy(
         F.col("alias_group").alias("g")).agg(F.bool_or(own == ALLOW).alias("allowed"),
-                                             F.bool_or(own == BLOCK).alias("blocked"))
+                                             F.bool_or(own == BLOCK).alias("blocked")), "decided")
     both = tagged.join(decided, tagged["alias_group"] == decided["g"], "left")
     inherited = F.when(F.col("allowed"), F.lit(ALLOW)).when(
         F.col("blocked"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))

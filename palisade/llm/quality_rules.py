@@ -136,12 +136,13 @@ def _with_failures(rows: DataFrame) -> DataFrame:
 def _with_verdicts(rows: DataFrame, counted: DataFrame) -> DataFrame:
     """``rows`` with the verdicts of their hosts, which ``counted`` gives.
 
-    A hot host is cut by the adaptive skew join, because the hosts' side has one row for it.
+    The hosts' side has one row for a hot host and is written first, so the adaptive skew join can
+    cut the other side.
     """
-    hosts = host_rates(counted).select(
+    hosts = materialize(host_rates(counted).select(
         F.col("host").alias("h"),
         (F.greatest(*[F.col(f"rate_{r}") for r in RULES]) >= BLOCK_RATE).alias("host_blocked"),
-        *[(F.col(f"rate_{r}") >= FORGIVE_RATE).alias(f"held_{r}") for r in RULES])
+        *[(F.col(f"rate_{r}") >= FORGIVE_RATE).alias(f"held_{r}") for r in RULES]), "hosts")
     base = F.col("fail_short") | F.col("fail_repeats")
     strict = F.greatest(*[F.col(f"fail_{r}") & F.col(f"held_{r}") for r in RULES])
     return rows.join(hosts, rows["host"].eqNullSafe(hosts["h"])).withColumns({
@@ -163,12 +164,9 @@ def judged(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    Texts are measured again beside their row, so that they need not be moved to meet their
-    measures. The row's number keeps the optimizer from pushing the verdict below the measures,
-    where it would have to work them out anew for every use.
+    Texts are measured once: rows are written with their failures, the hosts are counted from the
+    narrow columns of what was written, and the rows are read again for the join.
     """
-    counted = _with_failures(measures(docs)).select("host", *[f"fail_{r}" for r in RULES])
-    rows = _with_failures(measures(docs, F.struct(*[docs[c] for c in docs.columns])))
-    rows = rows.withColumn("number", F.monotonically_increasing_id())
-    return _with_verdicts(rows, counted).where(
-        F.col("kept") & (F.col("number") >= 0)).select("row.*")
+    rows = materialize(_with_failures(measures(docs, F.struct(*[docs[c] for c in docs.columns])))
+                       .select("row", "host", *[f"fail_{r}" for r in RULES]), "measured")
+    return _with_verdicts(rows, rows).where("kept").select("row.*")

@@ -11,6 +11,12 @@ The log-likelihood ratio of a text, divided by its words, and those of its most
 into a logistic scale. Counts come from every labelled text that may be learned from; the scale
 is fitted on a bounded sample with counts from the other fold.
 
+Every table is keyed by the exact string or word and grows with the corpus: words with their counts,
+strings of the words, ratios per string, ratios per word. Texts are read twice, once for the words
+and once for the measures. The ratios of the ``COMMON_WORDS`` words that most texts hold are sent to
+every task; a text's other words meet theirs in a join. Both ways add up the same whole numbers, so
+the bound only decides which way a word goes.
+
 Defined results: a null text is the empty text and gets the score of a text without a telling
 word; labels that are null are left out; of several labels of one id the largest counts; rows
 with a null id are scored and never learned from; repeated rows are rows of their own; without
@@ -19,24 +25,32 @@ labels of both classes every score is 0. Other columns are left out.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from palisade.llm.bpe import MEMORY_CHARS, MEMORY_WORDS, batches
+from palisade.llm.bpe import batches
 from palisade.llm.common import whole_text
 from palisade.session import materialize
 
 #: Bytes of a string whose counts are kept by class, and of the shared shorter ones.
-ORDER, SHARED = 6, (4, 2)
+ORDER, SHARED = 6, (2, 4)
 DISCOUNT = 0.75
 #: Counts by which either class's own count is smoothed towards the shared model.
 BACKOFF = 0.5
-#: Places of a count table, a prime: the model has this size whatever the corpus.
-PLACES = 524_287
+#: Ratios are whole numbers of this unit, so that sums do not depend on their order.
+UNIT = float(1 << 30)
+
+#: Words whose ratios every task gets; the others are joined.
+COMMON_WORDS = 100_000
+#: Longer words go by their first letters and a digest.
+NAME_CHARS = 64
 
 #: Bound of the labelled texts that the logistic scale is fitted on.
 SCALE_TEXTS = 20_000
@@ -47,8 +61,12 @@ THRESHOLD = 0.7
 #: A word's ratio from which it counts by itself.
 TELLING = 2.5
 FOLDS = 3
-#: Words that a task counts before it takes them apart.
-FLUSH_WORDS = 100_000
+#: Words that a task counts before it hands them on.
+FLUSH_WORDS = 200_000
+#: Texts that hold a word: all, and those to learn from by fold and class.
+COUNTS = ["n", "n00", "n01", "n20", "n21"]
+#: The two models by the counts of ordinary and toxic texts they rest on.
+MODELS = {"whole": ("n00 + n20", "n01 + n21"), "part": ("n00", "n01")}
 MEASURES = ["mean", "told", "share", "length"]
 
 
@@ -88,129 +106,177 @@ def strings_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return packed[inside], owner[inside]
 
 
+def name_of(word: str) -> str:
+    """The word itself, or a name of bounded length that no short word has."""
+    if len(word) <= NAME_CHARS:
+        return word
+    return word[:NAME_CHARS // 2] + " " + hashlib.blake2b(word.encode("utf-8", "replace"),
+                                                          digest_size=16).hexdigest()
+
+
 def counted(rows: DataFrame) -> DataFrame:
-    """Counts of every string by fold and class from (``text``, ``fold``, ``toxic``).
+    """Every word of (``text``, ``fold``, ``toxic``) with the numbers of texts that hold it.
 
-    A task adds up its words before it takes them apart, and flushes when it has many.
+    A text whose ``toxic`` is null only adds its words. Repeats in one text tell nothing more.
     """
-    names = [f"n{f}{c}" for f in (0, 2) for c in (0, 1)]
-
-    def flush(words: dict[str, list[int]]) -> pd.DataFrame:
-        packed, owner = strings_of(list(words))
-        weights = np.array(list(words.values()), np.int64)
-        strings, back = np.unique(packed, return_inverse=True)
-        out = {"gram": strings}
-        for k, name in enumerate(names):
-            out[name] = np.bincount(back, weights[owner, k], len(strings)).astype(np.int64)
-        return pd.DataFrame(out)
+    def flush(held: list[Counter]) -> pd.DataFrame:
+        words = list(set().union(*held))
+        counts = np.array([[c[w] for w in words] for c in held], np.int64)
+        counts[0] = counts.sum(axis=0)
+        return pd.DataFrame({"name": list(map(name_of, words)), "word": words,
+                             **dict(zip(COUNTS, counts))})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: dict[str, list[int]] = {}
+        held = [Counter() for _ in COUNTS]
         for frame in frames:
             for text, f, toxic in zip(frame["text"], frame["fold"], frame["toxic"]):
-                place = (2 if f == 2 else 0) + int(toxic)
-                for w in set(words_in(text)):  # repeats in one text tell nothing more
-                    words.setdefault(w, [0, 0, 0, 0])[place] += 1
-                if len(words) > FLUSH_WORDS:
-                    yield flush(words)
-                    words = {}
-        if words:
-            yield flush(words)
-
-    found = rows.mapInPandas(run, "gram long, " + ", ".join(f"{n} long" for n in names))
+                own = held[0 if toxic < 0 else 1 + f + int(toxic)]
+                own.update(set(words_in(text)))
+                if len(own) > FLUSH_WORDS:
+                    yield flush(held)
+                    held = [Counter() for _ in COUNTS]
+        if any(held):
+            yield flush(held)
+
+    kept = rows.select("text", F.coalesce("fold", F.lit(0)).cast("int").alias("fold"),
+                       F.coalesce("toxic", F.lit(-1)).cast("int").alias("toxic"))
+    found = kept.mapInPandas(run, "name string, word string, "
+                             + ", ".join(f"{n} long" for n in COUNTS))
+    return found.groupBy("name", "word").agg(*[F.sum(n).alias(n) for n in COUNTS])
+
+
+def strings(words: DataFrame) -> DataFrame:
+    """Counts of every string (``gram``) of the words, those of words to learn from added up."""
+    names = COUNTS[1:]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in batches(frame["word"].tolist()):
+                some = frame.iloc[part]
+                packed, owner = strings_of(some["word"].tolist())
+                found, back = np.unique(packed, return_inverse=True)
+                yield pd.DataFrame({"gram": found, **{
+                    n: np.bincount(back, some[n].to_numpy()[owner], len(found)).astype(np.int64)
+                    for n in names}})
+
+    found = words.select("word", *names).mapInPandas(
+        run, "gram long, " + ", ".join(f"{n} long" for n in names))
     return found.groupBy("gram").agg(*[F.sum(n).alias(n) for n in names])
 
 
-class Model:
-    """The two models as tables of fixed size."""
-
-    def __init__(self, top, contexts, shared):
-        self.top, self.contexts, self.shared = top, contexts, shared
-
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood ratio, toxic to ordinary, of every word."""
-        if not words:
-            return np.zeros(0)
-        packed, owner = strings_of(words)
-        p = np.full(len(packed), 1 / 256)
-        for order, (counts, total, kinds) in sorted(self.shared.items()):
-            short = packed & ((1 << 8 * order) - 1)
-            n, t, k = counts[short % PLACES], *(x[(short >> 8) % PLACES] for x in (total, kinds))
-            p = np.where(t > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * k * p)
-                         / np.maximum(t, 1), p)
-        c0, c1 = (x[packed % PLACES] for x in self.top)
-        t0, t1, k = (x[(packed >> 8) % PLACES] for x in self.contexts)
-        t = t0 + t1
-        p = np.where(t > 0, (np.maximum(c0 + c1 - DISCOUNT, 0) + DISCOUNT * k * p)
-                     / np.maximum(t, 1), p)
+def _interpolated(count: Column, total: Column, kinds: Column, below: Column) -> Column:
+    """Kneser-Ney: the discounted share, and what the discounts left times the shorter string's."""
+    return F.when(total > 0, (F.greatest(count - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * below)
+                  / total).otherwise(below)
+
+
+def string_ratios(grams: DataFrame) -> DataFrame:
+    """Log-likelihood ratio, toxic to ordinary, of every string under either model.
+
+    Strings of a context differ in their last byte, so a context's window holds 256 rows at most,
+    and a four-byte string ends at most 65,536 longer ones.
+    """
+    rows = grams.select("gram", *[F.expr(e).alias(f"{m}{c}") for m, own in MODELS.items()
+                                  for c, e in enumerate(own)])
+    below = None
+    for order in SHARED:
+        end = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))
+        shorter = rows.groupBy(end.alias("short")).agg(*[
+            F.sum((F.col(f"{m}0") + F.col(f"{m}1") > 0).cast("long")).alias(f"{m}_n")
+            for m in MODELS])
+        context = Window.partitionBy(F.shiftright("short", 8))
+        shorter = shorter.select(
+            "short", F.col("short").bitwiseAND(F.lit((1 << 16) - 1)).alias("last"),
+            *[F.col(f"{m}_n") for m in MODELS],
+            *[F.sum(f"{m}_n").over(context).alias(f"{m}_t") for m in MODELS],
+            *[F.sum((F.col(f"{m}_n") > 0).cast("long")).over(context).alias(f"{m}_k")
+              for m in MODELS])
+        if below is None:
+            shorter = shorter.select("*", *[F.lit(1 / 256).alias(f"{m}_p") for m in MODELS])
+        else:  # strings of two bytes: 65,536 rows at most
+            shorter = shorter.join(F.broadcast(below.withColumnRenamed("short", "last")), "last")
+        below = shorter.select("short", *[_interpolated(
+            *[F.col(f"{m}_{x}") for x in "ntkp"]).alias(f"{m}_p") for m in MODELS])
+    context = Window.partitionBy(F.shiftright("gram", 8))
+    rows = rows.select(
+        "*", F.col("gram").bitwiseAND(F.lit((1 << 8 * SHARED[-1]) - 1)).alias("short"),
+        *[F.sum(f"{m}{c}").over(context).alias(f"{m}_t{c}") for m in MODELS for c in (0, 1)],
+        *[F.sum((F.col(f"{m}0") + F.col(f"{m}1") > 0).cast("long")).over(context).alias(f"{m}_k")
+          for m in MODELS]).join(below.hint("merge"), "short")
+
+    def ratio(m: str) -> Column:
+        c0, c1, t0, t1 = (F.col(f"{m}{x}") for x in ("0", "1", "_t0", "_t1"))
+        p = _interpolated(c0 + c1, t0 + t1, F.col(f"{m}_k"), F.col(f"{m}_p"))
         # What each class has against what the common model expects of it.
         toxic = (c1 + BACKOFF) / (t1 * p + BACKOFF)
         ordinary = (c0 + BACKOFF) / (t0 * p + BACKOFF)
-        return np.bincount(owner, np.log(toxic / ordinary), len(words))
-
-
-def _table(rows: DataFrame, key: Column, **sums: Column) -> list[np.ndarray]:
-    """Sums by ``key`` modulo PLACES as arrays; at most PLACES rows reach the driver."""
-    found = rows.groupBy(F.pmod(key, F.lit(PLACES)).cast("int").alias("at")).agg(
-        *[F.sum(c).cast("double").alias(n) for n, c in sums.items()]).toPandas()
-    out = []
-    for name in sums:
-        values = np.zeros(PLACES, np.float32)
-        values[found["at"]] = found[name]
-        out.append(values)
-    return out
-
-
-def model_of(counts: DataFrame, folds: tuple[int, ...]) -> Model | None:
-    """The models from the counts of some folds; None where a class has none."""
-    rows = counts.select("gram", *[sum((F.col(f"n{f}{c}") for f in folds), F.lit(0)).alias(f"n{c}")
-                                   for c in (0, 1)]).where("n0 + n1 > 0")
-    gram, one = F.col("gram"), F.lit(1)
-    top = _table(rows, gram, n0=F.col("n0"), n1=F.col("n1"))
-    if not top[0].any() or not top[1].any():
-        return None
-    contexts = _table(rows, F.shiftright(gram, 8), t0=F.col("n0"), t1=F.col("n1"), kinds=one)
-    shared = {}
-    for order in SHARED:
-        short = rows.groupBy(gram.bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("short")).agg(
-            F.count(one).alias("n"))
-        n, = _table(short, F.col("short"), n=F.col("n"))
-        shared[order] = (n, *_table(short, F.shiftright("short", 8), t=F.col("n"), k=one))
-    return Model(top, contexts, shared)
-
-
-class Reader:
-    """Measures of texts under a model; a worker remembers the ratios of words it has met."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.seen: dict[str, float] = {}
-
-    def measures(self, texts: list[str]) -> np.ndarray:
-        """Measures of the texts, worked on in parts of bounded size."""
-        return np.concatenate([np.zeros((0, len(MEASURES))),
-                               *[self._part(texts[part]) for part in batches(texts)]])
-
-    def _part(self, texts: list[str]) -> np.ndarray:
-        """Per text: the ratio divided by the words; the telling words' ratios in all, and
-        divided by the different words; the logarithm of the number of words."""
-        seen = self.seen
-        cut = list(map(words_in, texts))
-        new = list({w for own in cut for w in own}.difference(seen))
-        seen.update(zip(new, self.model.ratios(new).tolist()))
-        out = np.zeros((len(texts), len(MEASURES)))
-        for k, own in enumerate(cut):
-            if own:
-                different = set(own)
-                told = sum([r for w in different if (r := seen[w]) > TELLING])
-                out[k] = (sum([seen[w] for w in own]) / len(own), np.log1p(told),
-                          told / (len(different) + STEADY), np.log1p(len(own)))
-        for w in new:
-            if len(w) > MEMORY_CHARS:
-                del seen[w]
-        if len(seen) > MEMORY_WORDS:
-            seen.clear()
-        return out
+        return F.round(F.log(toxic / ordinary) * UNIT).cast("long")
+
+    return rows.select("gram", *[ratio(m).alias(m) for m in MODELS])
+
+
+def word_ratios(words: DataFrame, grams: DataFrame) -> DataFrame:
+    """``name``, ``n`` and both models' ratios of every word: the sum over its strings."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in batches(frame["word"].tolist()):
+                some = frame.iloc[part]
+                packed, owner = strings_of(some["word"].tolist())
+                yield pd.DataFrame({"id": some["id"].to_numpy()[owner], "gram": packed})
+
+    said = materialize(string_ratios(grams), "string_ratios")
+    summed = words.select("id", "word").mapInPandas(run, "id long, gram long").join(
+        said.hint("merge"), "gram").groupBy("id").agg(*[F.sum(m).alias(m) for m in MODELS])
+    return words.select("id", "name", "n").join(summed.hint("merge"), "id", "left").select(
+        "name", "n", *[F.coalesce(m, F.lit(0)).alias(m) for m in MODELS])
+
+
+def measured(rows: DataFrame, ratios: DataFrame, common: pd.DataFrame, model: str) -> DataFrame:
+    """Replaces ``text`` by the measures of the texts under a model.
+
+    The measures: the ratio divided by the words; the telling words' ratios in all, and divided by
+    the different words; the logarithm of the number of words.
+    """
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    shared = rows.sparkSession.sparkContext.broadcast(  # COMMON_WORDS entries at most
+        dict(zip(common["name"], common[model].tolist())))
+    least = TELLING * UNIT
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for frame in frames:
+            out = []
+            for text in frame.pop("text"):
+                words = words_in(text)
+                own = Counter(map(name_of, words))
+                met = [(known[w], n) for w, n in own.items() if w in known]
+                rest = [(w, n) for w, n in own.items() if w not in known]
+                out.append((len(words), len(own), sum([r * n for r, n in met]),
+                            sum([r for r, _ in met if r > least]),
+                            [w for w, _ in rest], [n for _, n in rest]))
+            yield frame.assign(**dict(zip(
+                ["words", "different", "total", "telling", "rare", "times"],
+                zip(*out) if out else [[]] * 6)))
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    first = materialize(rows.select(*[f.name for f in kept], "text").mapInPandas(
+        run, names + ", words long, different long, total long, telling long, "
+        "rare array<string>, times array<long>").withColumn(
+        "row", F.monotonically_increasing_id()), "measures")
+    pairs = first.where(F.size("rare") > 0).select(
+        "row", F.explode(F.arrays_zip("rare", "times")).alias("one")).select(
+        "row", F.col("one.rare").alias("name"), F.col("one.times").alias("times"))
+    ratio = F.col(model)
+    added = pairs.join(ratios.select("name", model).hint("merge"), "name").groupBy("row").agg(
+        F.sum(ratio * F.col("times")).alias("more"),
+        F.sum(F.when(ratio > least, ratio)).alias("more_telling"))
+    first = first.drop("rare", "times").join(added.hint("merge"), "row", "left")
+    total = (F.col("total") + F.coalesce("more", F.lit(0))) / UNIT
+    told = (F.col("telling") + F.coalesce("more_telling", F.lit(0))) / UNIT
+    values = [total / F.greatest("words", F.lit(1)), F.log1p(told),
+              told / (F.col("different") + STEADY), F.log1p("words")]
+    return first.select(*[f.name for f in kept],
+                        *[v.cast("double").alias(m) for m, v in zip(MEASURES, values)])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, ...]:
@@ -243,33 +309,46 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame):
-    """(model, logistic scale), or None where a class has no text to learn from."""
-    labels = labels.where(F.col("toxic").isNotNull()).groupBy(
+def marks_of(labels: DataFrame) -> DataFrame:
+    """One label per document that may be learned from."""
+    found = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(
-        (F.max("toxic") > 0).cast("int").alias("toxic")).withColumn("fold", fold(F.col("doc_id")))
-    labels = labels.where("fold <> 1")
-    texts = texts_of(docs).where(fold(F.col("doc_id")) != 1)
-    # Labels grow with the corpus, so both sides are dealt by id at every size.
-    learned = texts.join(labels.hint("merge"), "doc_id").select("text", "fold", "toxic")
-    counts = materialize(counted(learned), "strings")
-    whole, part = model_of(counts, (0, 2)), model_of(counts, (0,))
-    if whole is None:
+        (F.max("toxic") > 0).cast("int").alias("toxic"))
+    return found.where(fold(F.col("doc_id")) != 1)
+
+
+def ratios_of(docs: DataFrame, marks: DataFrame) -> DataFrame | None:
+    """The ratios of every word of ``docs``, or None where a class has no text to learn from."""
+    texts = texts_of(docs).withColumn("fold", fold(F.col("doc_id")))
+    # Labels grow with the corpus, so both sides are dealt by id at every size; the held-out third
+    # only adds its words and stays where it is.
+    aside = F.coalesce(F.col("fold") == 1, F.lit(True))
+    learned = texts.where(~aside).join(marks.hint("merge"), "doc_id", "left").select(
+        "text", "fold", "toxic")
+    others = texts.where(aside).select("text", F.lit(0).alias("fold"),
+                                       F.lit(None).cast("int").alias("toxic"))
+    words = materialize(counted(learned.unionByName(others)).withColumn(
+        "id", F.monotonically_increasing_id()), "words")
+    ordinary, toxic = words.select(*[F.sum(F.expr(e)) for e in MODELS["whole"]]).first()
+    if not ordinary or not toxic:
         return None
-    chosen = labels.where("fold = 2").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(
-        SCALE_TEXTS)
-    reader = Reader(part or whole)
+    grams = materialize(strings(words), "strings")
+    return materialize(word_ratios(words, grams), "word_ratios")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = pd.DataFrame(reader.measures(frame["text"].tolist()),
-                               columns=MEASURES)
-            yield out.assign(toxic=frame["toxic"])
-
-    columns = ", ".join(f"{m} double" for m in MEASURES)
-    # At most SCALE_TEXTS rows of two numbers are sent to every task.
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInPandas(
-        run, columns + ", toxic int").toPandas()
+
+def scale_of(docs: DataFrame, marks: DataFrame, ratios: DataFrame, common: pd.DataFrame,
+             scale_texts: int) -> tuple[np.ndarray, ...] | None:
+    """Mean, scale and weights of the measures, from labelled texts of fold 2.
+
+    The words are judged by fold 0 alone, where it has both classes.
+    """
+    chosen = marks.where(fold(F.col("doc_id")) == 2).orderBy(
+        F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(scale_texts)
+    apart = ratios.where("part <> 0").limit(1).count() > 0
+    # At most scale_texts rows of two numbers are sent to every task.
+    rows = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    sample = measured(rows, ratios, common, "part" if apart else "whole").select(
+        *MEASURES, "toxic").toPandas()
     sample = sample.sort_values(list(sample.columns))
     y = sample.pop("toxic").to_numpy(float)
     if not 0 < y.sum() < len(y):
@@ -278,26 +357,27 @@ def fitted(docs: DataFrame, labels: DataFrame):
     z = (sample.to_numpy() - mean) / scale @ w[:-1] + w[-1]
     # The threshold goes where it serves the sample best.
     w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(z, y)
-    return whole, (mean, scale, w)
+    return mean, scale, w
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+           common_words: int = COMMON_WORDS, scale_texts: int = SCALE_TEXTS) -> DataFrame:
     """A score from 0 to 1 and a verdict for every document."""
-    found = fitted(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(found)  # of fixed size, see PLACES
-
-    @F.pandas_udf("double")
-    def score(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if shared.value is None:
-            for column in columns:
-                yield pd.Series(np.zeros(len(column)))
-            return
-        model, (mean, scale, w) = shared.value
-        reader = Reader(model)
-        for column in columns:
-            z = (reader.measures(column.tolist()) - mean) / scale @ w[:-1] + w[-1]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-    rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
-                       .alias("held_out"), score(whole_text()).alias("score"))
+    held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
+    marks = materialize(marks_of(labels), "marks")
+    ratios, scale = ratios_of(docs, marks), None
+    if ratios is not None:
+        common = ratios.orderBy(F.desc("n"), "name").limit(common_words).toPandas()
+        scale = scale_of(docs, marks, ratios, common, scale_texts)
+    if scale is None:
+        rows = docs.select("doc_id", held_out, F.lit(0.0).alias("score"))
+    else:
+        rows = measured(docs.select("doc_id", held_out, whole_text().alias("text")), ratios,
+                        common, "whole")
+        mean, spread, w = scale
+        z = F.lit(float(w[-1]))
+        for k, name in enumerate(MEASURES):
+            z = z + (F.col(name) - float(mean[k])) / float(spread[k]) * float(w[k])
+        z = F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))
+        rows = rows.select("doc_id", "held_out", (1 / (1 + F.exp(-z))).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

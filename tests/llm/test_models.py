@@ -148,6 +148,72 @@ def test_toxicity_on_held_out_thirds(spark):
     assert {(r.doc_id, r.score) for r in again} == {(r.doc_id, r.score) for r in got}
 
 
+def plain_ratios(counts):
+    """Ratios of words from {word: (ordinary, toxic)} by dictionaries over byte strings."""
+    def grams(word):
+        raw = [0] * 5 + list(f" {word} ".encode())
+        return [bytes(raw[k:k + 6]) for k in range(1, len(raw) - 5)]
+
+    top = {}
+    for word, (n0, n1) in counts.items():
+        for g in grams(word):
+            a = top.setdefault(g, [0, 0])
+            a[0], a[1] = a[0] + n0, a[1] + n1
+    seen = [g for g, (n0, n1) in top.items() if n0 + n1]
+
+    def lower(g, order):
+        if not order:
+            return 1 / 256
+        below = lower(g, {4: 2, 2: 0}[order])
+        ends = [x[-order:] for x in seen]
+        near = [e for e in ends if e[:-1] == g[-order:-1]]
+        if not near:
+            return below
+        n = ends.count(g[-order:])
+        return (max(n - 0.75, 0) + 0.75 * len(set(near)) * below) / len(near)
+
+    out = {}
+    for word in counts:
+        out[word] = 0.0
+        for g in grams(word):
+            near = [top[x] for x in seen if x[:-1] == g[:-1]]
+            t0, t1 = sum(x[0] for x in near), sum(x[1] for x in near)
+            c0, c1 = top[g]
+            p = lower(g, 4)
+            if t0 + t1:
+                p = (max(c0 + c1 - 0.75, 0) + 0.75 * len(near) * p) / (t0 + t1)
+            out[word] += np.log((c1 + 0.5) / (t1 * p + 0.5) / ((c0 + 0.5) / (t0 * p + 0.5)))
+    return out
+
+
+def test_toxicity_ratios_equal_dictionaries(spark):
+    counts = {"vile": (1, 9), "vilest": (0, 3), "evil": (4, 4), "mild": (20, 1), "milder": (6, 0),
+              "wild": (0, 0), "aaaaaaaaaa": (2, 1), "日本": (3, 2), "q" * 200: (0, 2), "x": (9, 1)}
+    rows = [(k, toxicity.name_of(w), w, a + b, a, b, 0, 0)
+            for k, (w, (a, b)) in enumerate(counts.items())]
+    words = spark.createDataFrame(
+        rows, "id long, name string, word string, " + ", ".join(f"{n} long" for n in toxicity.COUNTS))
+    got = {r["name"]: r for r in toxicity.word_ratios(words, toxicity.strings(words)).collect()}
+    for word, ratio in plain_ratios(counts).items():
+        row = got[toxicity.name_of(word)]
+        assert row.whole == row.part and row.whole / toxicity.UNIT == pytest.approx(ratio, abs=1e-6)
+
+
+def test_toxicity_words_by_either_way(spark):
+    """Words that are joined count as those that every task has."""
+    rng = np.random.default_rng(3)
+    rows, marks = [], []
+    for k in range(120):
+        own = [f"w{rng.integers(40)}" for _ in range(30)] + ["y" * 90] * (k % 3)
+        rows.append((k, " ".join(own + ["grumblefax"] * (k % 4 == 0))))
+        marks.append((k, 1, int(k % 4 == 0), "x"))
+    rows += [(7, rows[7][1]), (None, rows[4][1]), (500, None)]
+    docs = documents(spark, rows)
+    all_joined, some, none = ([tuple(r) for r in sorted(toxicity.scored(
+        docs, labels(spark, marks), common_words=n).collect(), key=str)] for n in (0, 5, 10**6))
+    assert all_joined == some == none and len(some) == len(rows)
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     marks = labels(spark, [(1, 1, None, ""), (2, 1, 0, ""), (2, 1, 1, ""), (6, 1, 0, ""),
                            (None, 1, 1, ""), (4, 1, 1, ""), (7, 1, 0, "")])

@@ -47,7 +47,7 @@ BACKOFF = 0.5
 #: Ratios are whole numbers of this unit, so that sums do not depend on their order.
 UNIT = float(1 << 30)
 
-#: Words whose ratios every task gets; the others are joined.
+#: Bound of the words whose ratios every task gets; the others are joined.
 COMMON_WORDS = 100_000
 #: Longer words go by their first letters and a digest.
 NAME_CHARS = 64
@@ -123,8 +123,9 @@ def counted(rows: DataFrame) -> DataFrame:
         words = list(set().union(*held))
         counts = np.array([[c[w] for w in words] for c in held], np.int64)
         counts[0] = counts.sum(axis=0)
-        return pd.DataFrame({"name": list(map(name_of, words)), "word": words,
-                             **dict(zip(COUNTS, counts))})
+        names = list(map(name_of, words))
+        return pd.DataFrame({"name": names, "word": [
+            None if n == w else w for n, w in zip(names, words)], **dict(zip(COUNTS, counts))})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [Counter() for _ in COUNTS]
@@ -142,7 +143,8 @@ def counted(rows: DataFrame) -> DataFrame:
                        F.coalesce("toxic", F.lit(-1)).cast("int").alias("toxic"))
     found = kept.mapInPandas(run, "name string, word string, "
                              + ", ".join(f"{n} long" for n in COUNTS))
-    return found.groupBy("name", "word").agg(*[F.sum(n).alias(n) for n in COUNTS])
+    found = found.groupBy("name", "word").agg(*[F.sum(n).alias(n) for n in COUNTS])
+    return found.withColumn("word", F.coalesce("word", "name"))
 
 
 def strings(words: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ def _interpolated(count: Column, total: Column, kinds: Column, below: Column) ->
 
 
 def string_ratios(grams: DataFrame) -> DataFrame:
-    """Log-likelihood ratio, toxic to ordinary, of every string under either model.
+    """Log-likelihood ratio, toxic to ordinary, of every string under either model, unless 0.
 
     Strings of a context differ in their last byte, so a context's window holds 256 rows at most,
     and a four-byte string ends at most 65,536 longer ones.
@@ -202,7 +204,9 @@ def string_ratios(grams: DataFrame) -> DataFrame:
         "*", F.col("gram").bitwiseAND(F.lit((1 << 8 * SHARED[-1]) - 1)).alias("short"),
         *[F.sum(f"{m}{c}").over(context).alias(f"{m}_t{c}") for m in MODELS for c in (0, 1)],
         *[F.sum((F.col(f"{m}0") + F.col(f"{m}1") > 0).cast("long")).over(context).alias(f"{m}_k")
-          for m in MODELS]).join(below.hint("merge"), "short")
+          for m in MODELS])
+    # A context that was never learned from says nothing under either model.
+    rows = rows.where("whole_t0 + whole_t1 > 0").join(below.hint("merge"), "short")
 
     def ratio(m: str) -> Column:
         c0, c1, t0, t1 = (F.col(f"{m}{x}") for x in ("0", "1", "_t0", "_t1"))
@@ -212,7 +216,8 @@ def string_ratios(grams: DataFrame) -> DataFrame:
         ordinary = (c0 + BACKOFF) / (t0 * p + BACKOFF)
         return F.round(F.log(toxic / ordinary) * UNIT).cast("long")
 
-    return rows.select("gram", *[ratio(m).alias(m) for m in MODELS])
+    return rows.select("gram", *[ratio(m).alias(m) for m in MODELS]).where(
+        " or ".join(f"{m} <> 0" for m in MODELS))
 
 
 def word_ratios(words: DataFrame, grams: DataFrame) -> DataFrame:
@@ -231,6 +236,20 @@ def word_ratios(words: DataFrame, grams: DataFrame) -> DataFrame:
         "name", "n", *[F.coalesce(m, F.lit(0)).alias(m) for m in MODELS])
 
 
+def common_of(ratios: DataFrame, most: int) -> pd.DataFrame:
+    """The words of the highest levels of ``n`` that hold ``most`` words together at most.
+
+    A level is a sixteenth of a doubling, so few numbers per level reach the driver.
+    """
+    level = F.floor(F.log2("n") * 16)
+    sizes = ratios.groupBy(level.alias("level")).count().toPandas().sort_values(
+        "level", ascending=False)
+    fits = sizes[sizes["count"].cumsum() <= most]["level"]
+    if fits.empty:
+        return pd.DataFrame(columns=["name", *MODELS])
+    return ratios.where(level >= int(fits.min())).select("name", *MODELS).toPandas()
+
+
 def measured(rows: DataFrame, ratios: DataFrame, common: pd.DataFrame, model: str) -> DataFrame:
     """Replaces ``text`` by the measures of the texts under a model.
 
@@ -367,7 +386,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     marks = materialize(marks_of(labels), "marks")
     ratios, scale = ratios_of(docs, marks), None
     if ratios is not None:
-        common = ratios.orderBy(F.desc("n"), "name").limit(common_words).toPandas()
+        common = common_of(ratios, common_words)
         scale = scale_of(docs, marks, ratios, common, scale_texts)
     if scale is None:
         rows = docs.select("doc_id", held_out, F.lit(0.0).alias("score"))

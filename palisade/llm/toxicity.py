@@ -63,6 +63,8 @@ TELLING = 2.5
 FOLDS = 3
 #: Words that a task counts before it hands them on.
 FLUSH_WORDS = 200_000
+#: Of the written tables, which are mostly strings and random numbers.
+CODEC = "zstd"
 #: Texts that hold a word: all, and those to learn from by fold and class.
 COUNTS = ["n", "n00", "n01", "n20", "n21"]
 #: The two models by the counts of ordinary and toxic texts they rest on.
@@ -118,6 +120,7 @@ def counted(rows: DataFrame) -> DataFrame:
     """Every word of (``text``, ``fold``, ``toxic``) with the numbers of texts that hold it.
 
     A text whose ``toxic`` is null only adds its words. Repeats in one text tell nothing more.
+    ``word`` is null where it is the ``name``.
     """
     def flush(held: list[Counter]) -> pd.DataFrame:
         words = list(set().union(*held))
@@ -143,8 +146,11 @@ def counted(rows: DataFrame) -> DataFrame:
                        F.coalesce("toxic", F.lit(-1)).cast("int").alias("toxic"))
     found = kept.mapInPandas(run, "name string, word string, "
                              + ", ".join(f"{n} long" for n in COUNTS))
-    found = found.groupBy("name", "word").agg(*[F.sum(n).alias(n) for n in COUNTS])
-    return found.withColumn("word", F.coalesce("word", "name"))
+    return found.groupBy("name", "word").agg(*[F.sum(n).alias(n) for n in COUNTS])
+
+
+def spelled() -> Column:
+    return F.coalesce("word", "name").alias("word")
 
 
 def strings(words: DataFrame) -> DataFrame:
@@ -161,7 +167,7 @@ def strings(words: DataFrame) -> DataFrame:
                     n: np.bincount(back, some[n].to_numpy()[owner], len(found)).astype(np.int64)
                     for n in names}})
 
-    found = words.select("word", *names).mapInPandas(
+    found = words.select(spelled(), *names).mapInPandas(
         run, "gram long, " + ", ".join(f"{n} long" for n in names))
     return found.groupBy("gram").agg(*[F.sum(n).alias(n) for n in names])
 
@@ -229,8 +235,8 @@ def word_ratios(words: DataFrame, grams: DataFrame) -> DataFrame:
                 packed, owner = strings_of(some["word"].tolist())
                 yield pd.DataFrame({"id": some["id"].to_numpy()[owner], "gram": packed})
 
-    said = materialize(string_ratios(grams), "string_ratios")
-    summed = words.select("id", "word").mapInPandas(run, "id long, gram long").join(
+    said = materialize(string_ratios(grams), "string_ratios", CODEC)
+    summed = words.select("id", spelled()).mapInPandas(run, "id long, gram long").join(
         said.hint("merge"), "gram").groupBy("id").agg(*[F.sum(m).alias(m) for m in MODELS])
     return words.select("id", "name", "n").join(summed.hint("merge"), "id", "left").select(
         "name", "n", *[F.coalesce(m, F.lit(0)).alias(m) for m in MODELS])
@@ -281,7 +287,7 @@ def measured(rows: DataFrame, ratios: DataFrame, common: pd.DataFrame, model: st
     first = materialize(rows.select(*[f.name for f in kept], "text").mapInPandas(
         run, names + ", words long, different long, total long, telling long, "
         "rare array<string>, times array<long>").withColumn(
-        "row", F.monotonically_increasing_id()), "measures")
+        "row", F.monotonically_increasing_id()), "measures", CODEC)
     pairs = first.where(F.size("rare") > 0).select(
         "row", F.explode(F.arrays_zip("rare", "times")).alias("one")).select(
         "row", F.col("one.rare").alias("name"), F.col("one.times").alias("times"))
@@ -347,12 +353,12 @@ def ratios_of(docs: DataFrame, marks: DataFrame) -> DataFrame | None:
     others = texts.where(aside).select("text", F.lit(0).alias("fold"),
                                        F.lit(None).cast("int").alias("toxic"))
     words = materialize(counted(learned.unionByName(others)).withColumn(
-        "id", F.monotonically_increasing_id()), "words")
+        "id", F.monotonically_increasing_id()), "words", CODEC)
     ordinary, toxic = words.select(*[F.sum(F.expr(e)) for e in MODELS["whole"]]).first()
     if not ordinary or not toxic:
         return None
-    grams = materialize(strings(words), "strings")
-    return materialize(word_ratios(words, grams), "word_ratios")
+    grams = materialize(strings(words), "strings", CODEC)
+    return materialize(word_ratios(words, grams), "word_ratios", CODEC)
 
 
 def scale_of(docs: DataFrame, marks: DataFrame, ratios: DataFrame, common: pd.DataFrame,

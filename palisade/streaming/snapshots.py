@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from palisade.operators import snapshots
 from palisade.sources import tail
 
 FILES_PER_TRIGGER = 100  # bounds what one batch, and so one entity in it, can hold
+ENTITY_BUCKETS = 1024     # of the state, fixed in a checkpoint; a task takes one after the other
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGE_COLUMNS = ["uid", "seq", "timestamp", "source", "state", "record"]
 _CHANGES = T.StructType([
@@ -87,23 +89,43 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class ChangeFilter(StatefulProcessor):
-    """Passes a row when its entity is new or its data differs from the entity's last row."""
+    """Passes a row when its entity is new or its data differs from the entity's last row.
+
+    A call takes a bucket of entities, so its fixed cost is shared by all of them. The state is a
+    log of entities' last data, the latest entry counting: it is read at once, changes are added
+    at once, and it is written anew when most of it is out of date.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "state string")
+        self.last = handle.getListState("last", "uid string, state string")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.last.update((initialState["state"].iloc[0],))
+        self.last.appendList(list(zip(initialState["uid"], initialState["state"])))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame],
                         timerValues) -> Iterator[pd.DataFrame]:
+        parts = list(rows)
+        batch = pd.concat(parts) if len(parts) > 1 else parts[0]
+        # an absent id is an entity of its own; no id is empty
+        uids, states = batch["uid"].fillna("").to_numpy(), batch["state"].to_numpy()
+        entity, names = pd.factorize(uids)
         # arrival order inside a batch is the order column's
-        batch = pd.concat(list(rows)).sort_values("seq")
-        known = self.last.get()[0] if self.last.exists() else None
-        before = batch["state"].shift(1)
-        before.iloc[0] = known
-        self.last.update((batch["state"].iloc[-1],))
-        changed = batch[before.isna() | (before != batch["state"])]
+        order = np.lexsort((batch["seq"].to_numpy(), entity))
+        entity, states = entity[order], states[order]
+        first = np.diff(entity, prepend=-1) > 0
+        before = np.empty(len(order), object)
+        before[1:] = states[:-1]
+        entries = list(self.last.get())
+        held = dict(entries)
+        before[first] = [held.get(uid) for uid in names]
+        latest = zip(names, states[np.append(first[1:], True)])
+        news = [(uid, state) for uid, state in latest if uid not in held or held[uid] != state]
+        held.update(news)
+        if len(entries) + len(news) > 2 * len(held):
+            self.last.put(list(held.items()))
+        elif news:
+            self.last.appendList(news)
+        changed = batch.iloc[order[pd.isna(before) | (before != states)]]
         if len(changed):
             yield changed[CHANGE_COLUMNS]
 
@@ -111,16 +133,21 @@ class ChangeFilter(StatefulProcessor):
         pass
 
 
+def _bucket(uid: Column) -> Column:
+    return F.pmod(F.xxhash64(uid), F.lit(ENTITY_BUCKETS)).alias("bucket")
+
+
 def changes(records: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     """Stream of state changes; ``seed`` (``uid``, ``data``) carries on an earlier output."""
     rows = snapshots.identified(records).select(
-        "uid", "seq", "timestamp", "source",
+        _bucket(F.col("uid")), "uid", "seq", "timestamp", "source",
         snapshots.state_text(F.col("data")).alias("state"),
         F.to_json("data").alias("record"))
     start = None
     if seed is not None:
-        start = seed.select("uid", snapshots.state_text(F.col("data")).alias("state")).groupBy(
-            "uid")
-    return rows.groupBy("uid").transformWithStateInPandas(
+        start = seed.select(
+            _bucket(F.col("uid")), F.coalesce("uid", F.lit("")).alias("uid"),
+            snapshots.state_text(F.col("data")).alias("state")).groupBy("bucket")
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=ChangeFilter(), outputStructType=_CHANGES, outputMode="append",
         timeMode="none", initialState=start)

@@ -153,3 +153,49 @@ def test_push_publishes_every_batch(spark, tmp_path):
     live_fusion.push(stream_of(spark, folder), lambda batch, _: seen.append(batch.count()),
                      str(tmp_path / "mark"), once=True).awaitTermination()
     assert seen == [30, 30]
+
+
+class HeldList:
+    """Stands in for the list state of a bucket and counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = [], 0
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.held))
+
+    def appendList(self, rows):
+        self.calls += 1
+        self.held += rows
+
+    def put(self, rows):
+        self.calls += 1
+        self.held = list(rows)
+
+
+def test_a_call_takes_many_entities_and_writes_only_changes():
+    filter_ = live.ChangeFilter()
+    filter_.last = HeldList()
+    rows = [(f"APP:{k % 50}", k, "t", "APP", f"s{k % 50 % 3}", "{}") for k in range(400)]
+    batch = pd.DataFrame(rows, columns=live.CHANGE_COLUMNS).sample(frac=1.0, random_state=3)
+    out = pd.concat(filter_.handleInputRows((0,), iter([batch[:150], batch[150:]]), None))
+    assert sorted(out["seq"]) == list(range(50))
+    assert (filter_.last.calls, len(filter_.last.held)) == (2, 50)
+    more = batch.assign(seq=batch["seq"] + 400)
+    more.loc[more["seq"] == 799, ["uid", "state"]] = [None, "new"]
+    out = pd.concat(filter_.handleInputRows((0,), iter([more]), None))
+    assert list(out["seq"]) == [799] and len(filter_.last.held) == 51
+    assert not list(filter_.handleInputRows((0,), iter([more]), None))
+    for k in range(5):  # the log stays within twice its entities
+        last = more.assign(seq=more["seq"] + 400 * k, state=f"t{k}")
+        assert len(pd.concat(filter_.handleInputRows((0,), iter([last]), None))) == 51
+        assert len(filter_.last.held) <= 2 * 51
+        assert dict(filter_.last.held) == dict.fromkeys({"", *batch["uid"]}, f"t{k}")
+
+
+def test_changes_group_by_bucket(spark, stateful, tmp_path):
+    folder = str(tmp_path / "in")
+    written_one_by_one(snapshot_table(spark, random_snapshots(30, 17)), folder, [0, 30])
+    plan = live.changes(stream_of(stateful, folder))._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" in plan and "bucket" in plan

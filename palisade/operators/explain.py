@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import constants as C
+from palisade import session
 from palisade.functions import scoring
 from palisade.operators.forest import Forest
 from palisade.operators.ocsvm import TextModel
 
 _ROWS = 64           # rows whose coalitions are worked out together
+_TASK_LINES = 2000    # lines a task explains
 _KERNEL_WIDTH = 25.0
 _RIDGE = 1.0
 _SPLIT = re.compile(r"\s+")
@@ -126,25 +128,28 @@ def word_weights(model: TextModel, text: str, samples: int = C.LIME_SAMPLES,
 
 def with_word_weights(flagged: DataFrame, models: dict[str, TextModel],
                       samples: int = C.LIME_SAMPLES, top: int = C.LIME_FEATURES) -> DataFrame:
-    """Adds ``words`` to flagged text frames: every one is explained, no shuffle.
+    """Adds ``words`` to flagged text frames: every one is explained.
 
-    A payload repeated within a batch is explained once.
+    A payload is explained once per layer, in tasks of at most about ``_TASK_LINES`` lines;
+    the frames, which are read twice and so best lie written, meet the explanations by a join.
     """
-    shared = flagged.sparkSession.sparkContext.broadcast(models)
+    spark = flagged.sparkSession
+    shared = spark.sparkContext.broadcast(models)
 
     @F.pandas_udf("array<struct<word: string, weight: double>>")
     def explain(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for tags, payloads in batches:
-            done: dict[tuple[str, str], list[dict]] = {}
-            out = []
-            for key in zip(tags, payloads):
-                if key not in done:
-                    done[key] = [{"word": w, "weight": v} for w, v in word_weights(
-                        shared.value[key[0]], key[1], samples, top)]
-                out.append(done[key])
-            yield pd.Series(out)
-
-    return flagged.withColumn("words", explain("model_tag", "payload"))
+            yield pd.Series([
+                [{"word": w, "weight": v} for w, v in word_weights(
+                    shared.value[tag], payload, samples, top)]
+                for tag, payload in zip(tags, payloads)], dtype=object)
+
+    lines = session.materialize(flagged.select("model_tag", "payload").distinct(), "lines")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // _TASK_LINES))
+    found = session.materialize(
+        lines.repartition(tasks, "model_tag", "payload").withColumn(
+            "words", explain("model_tag", "payload")), "words")
+    return flagged.join(found, ["model_tag", "payload"], "left").select(*flagged.columns, "words")
 
 
 def text_evidence(words: Column) -> Column:

@@ -785,7 +785,8 @@ def evaluation_fixed(spark, sf_dir):
 def lime_evidence(spark, sf_dir):
     models = trained(spark, sf_dir, "text").text
     scored = ocsvm.predicted(ocsvm.decided(_text_frames(spark, sf_dir, models), models))
-    shown = explain.with_word_weights(scored.where(F.col("prediction") == -1), models)
+    flagged = session.materialize(scored.where(F.col("prediction") == -1), "flagged")
+    shown = explain.with_word_weights(flagged, models)
     return shown.select("seq", "tag", "payload", scoring.evidence_display(
         scoring.evidence_or_default(explain.text_evidence(F.col("words")))).alias("evidence"))
 

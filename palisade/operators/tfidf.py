@@ -10,22 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade import constants as C
-from palisade.functions.grams import gram_counts, ngrams
+from palisade import session
+from palisade.functions.grams import batch_counts, ngrams
 
 HELD_ROWS = 200_000  # weights a task holds before it passes them on
+MOST_PARTS = 100_000  # terms sent to tasks; with more, all longer ones are counted
 
-def term_stats(docs: DataFrame, analyzer: str, shortest: int, longest: int) -> DataFrame:
+
+def term_stats(docs: DataFrame, analyzer: str, shortest: int, longest: int,
+               among: set[str] | None = None) -> DataFrame:
     """Corpus and document frequency of every term of ``payload``.
 
-    Tasks count batch by batch; their counts are added up before and after the one shuffle. A ``weight`` column
-    counts a document several times.
+    A task adds up the counts of its batches; what it passes on is added up before and after the
+    one shuffle. A ``weight`` column counts a document several times. With ``among`` only terms
+    between two of these, which are shorter by one, are counted.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(among)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for terms, tf, df in gram_counts(
-                    batch["payload"].tolist(), batch["weight"].tolist(), analyzer, shortest,
-                    longest):
-                yield pd.DataFrame({"term": terms, "tf": tf, "df": df})
+        given = ((batch["payload"].tolist(), batch["weight"].tolist()) for batch in batches)
+        for terms, tf, df in batch_counts(given, analyzer, shortest, longest, shared.value):
+            yield pd.DataFrame({"term": terms, "tf": tf, "df": df})
 
     weight = F.col("weight") if "weight" in docs.columns else F.lit(1)
     rows = docs.select(F.coalesce("payload", F.lit("")).alias("payload"),
@@ -36,9 +41,25 @@ def term_stats(docs: DataFrame, analyzer: str, shortest: int, longest: int) -> D
 
 def vocabulary(docs: DataFrame, analyzer: str, shortest: int, longest: int,
                size: int = C.VOCABULARY_SIZE) -> DataFrame:
-    """The ``size`` most frequent terms, ties by term."""
-    stats = term_stats(docs, analyzer, shortest, longest)
-    return stats.orderBy(F.desc("tf"), "term").limit(size)
+    """The ``size`` most frequent terms, ties by term.
+
+    Nearly every run of three words is a new one, so runs of words are counted length by length: a
+    run is no more frequent than the shorter runs in it, and a length only counts runs whose parts
+    are as frequent as the last of the ``size`` best terms so far. That loses no term of the result.
+    """
+    if analyzer != "word" or shortest == longest:
+        stats = term_stats(docs, analyzer, shortest, longest)
+        return stats.orderBy(F.desc("tf"), "term").limit(size)
+    best, among, least = None, None, 0
+    for n in range(shortest, longest + 1):
+        level = session.materialize(term_stats(docs, analyzer, n, n, among), "terms")
+        best = level if best is None else best.unionByName(level)
+        best = session.materialize(best.orderBy(F.desc("tf"), "term").limit(size), "best")
+        found = best.agg(F.count("*").alias("n"), F.min("tf").alias("least")).first()
+        least = found["least"] if found["n"] == size else 0
+        parts = level.where(F.col("tf") >= least).select("term").limit(MOST_PARTS + 1).collect()
+        among = {r["term"] for r in parts} if len(parts) <= MOST_PARTS else None
+    return best.orderBy(F.desc("tf"), "term")
 
 
 def with_idf(vocab: DataFrame, documents: int) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade import constants as C
+from palisade.functions import grams
 from palisade.functions.grams import gram_counts, ngrams
 from palisade.operators import explain, forest, ocsvm, scaling, synth, tfidf
 from palisade.plans import pipeline
@@ -243,3 +244,64 @@ def test_margin_comes_with_a_certificate(spark):
     assert ocsvm.from_tables(*tables.values())["HOST_LIN"].gap == tight.gap
     with pytest.raises(RuntimeError, match="HOST_LIN"):
         ocsvm.fit(rows, ["HOST_LIN"], rounds=1, tolerance=1e-9)
+
+
+def test_a_task_adds_up_the_counts_of_its_batches():
+    """A term comes once whatever the number of batches, also when symbols differ."""
+    texts = [f"GET /page{k % 7}?q={chr(200 + k)} the end of it" for k in range(60)] + ["a\x00b c\x00"]
+    for analyzer, low, high in (("char", 3, 6), ("word", 1, 3)):
+        parts = list(grams.batch_counts(
+            [([t], [1 + k % 2]) for k, t in enumerate(texts)], analyzer, low, high))
+        terms = [t for part in parts for t in part[0]]
+        assert len(terms) == len(set(terms))
+        tf, df = Counter(), Counter()
+        for k, text in enumerate(texts):
+            for term, often in Counter(ngrams(text, analyzer, low, high)).items():
+                tf[term] += often * (1 + k % 2)
+                df[term] += 1 + k % 2
+        assert dict(zip(terms, np.concatenate([p[1] for p in parts]).tolist())) == dict(tf)
+        assert dict(zip(terms, np.concatenate([p[2] for p in parts]).tolist())) == dict(df)
+
+
+@pytest.mark.parametrize("size", [5, 40, 200, 100000])
+def test_vocabulary_of_runs_loses_no_frequent_term(spark, size):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame(
+        [(" ".join(rng.choice(words, 30, p=np.arange(40, 0, -1) / 820)) + (" one two three" * 9),)
+         for _ in range(60)], "payload string")
+    got = [tuple(r) for r in tfidf.vocabulary(docs, "word", 1, 3, size).collect()]
+    plain = tfidf.term_stats(docs, "word", 1, 3).orderBy(F.desc("tf"), "term").limit(size)
+    assert got == [tuple(r) for r in plain.collect()]
+
+
+def test_longer_runs_are_counted_between_frequent_ones_only(spark):
+    docs = spark.createDataFrame([("aa bb cc",), ("aa bb dd",)], "payload string")
+    got = tfidf.term_stats(docs, "word", 2, 2, {"aa", "bb"}).collect()
+    assert [tuple(r) for r in got] == [("aa bb", 2, 2)]
+
+
+class CountedModel:
+    """A stand-in whose calls leave a line each in a file."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def decision(self, texts):
+        with open(self.path, "a") as out:
+            out.write("call\n")
+        return np.array([len(t) / 100 - 0.5 for t in texts])
+
+
+def test_a_payload_is_explained_once_whatever_the_batches(spark, tmp_path):
+    payloads = ["GET /a b c", "POST /login user", "GET /index d"]
+    frames = spark.range(600).select("id", F.lit("WEB_APP").alias("model_tag"), F.get(
+        F.array(*[F.lit(p) for p in payloads]), (F.col("id") % 3).cast("int")).alias("payload"))
+    models = {"WEB_APP": CountedModel(str(tmp_path / "calls"))}
+    shown = explain.with_word_weights(frames.repartition(12), models, 50, 2)
+    assert shown.columns == ["id", "model_tag", "payload", "words"]
+    rows = shown.collect()
+    assert (tmp_path / "calls").read_text().count("call") == len(payloads)
+    assert sorted(r["id"] for r in rows) == list(range(600))
+    want = {p: explain.word_weights(models["WEB_APP"], p, 50, 2) for p in payloads}
+    assert all([tuple(w) for w in r["words"]] == want[r["payload"]] for r in rows)

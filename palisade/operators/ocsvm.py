@@ -85,7 +85,17 @@ class TextModel(tfidf.Vectorizer):
 
     def decision(self, texts: list[str]) -> np.ndarray:
         """Positive for normal text, negative for anomalies."""
-        return self.kernel(texts).astype(float) @ self.weight - self.rho
+        parts = [self.kernel(texts[at:at + _DENSE_ROWS]).astype(float) @ self.weight
+                 for at in range(0, len(texts), _DENSE_ROWS)]
+        return (np.concatenate(parts) if parts else np.zeros(0)) - self.rho
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame]]:
+    """Rows by layer, ``_DENSE_ROWS`` at most: a row takes kilobytes once it has features."""
+    for batch in batches:
+        for tag, group in batch.groupby("tag"):
+            for at in range(0, len(group), _DENSE_ROWS):
+                yield tag, group.iloc[at:at + _DENSE_ROWS]
 
 
 def corpus(layers: dict[str, DataFrame]) -> DataFrame:
@@ -139,11 +149,10 @@ def _set_landmarks(lines: DataFrame, models: dict[str, TextModel], seed: int,
 
         def uncovered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known, basis = shared.value
-            for batch in batches:
-                for tag, group in batch.groupby("tag"):
-                    z = known[tag].kernel(group["payload"].tolist()) @ basis[tag]
-                    yield pd.DataFrame({"tag": tag, "payload": group["payload"].to_numpy(),
-                                        "rest": np.round(1.0 - (z * z).sum(axis=1), 6)})
+            for tag, group in _groups(batches):
+                z = known[tag].kernel(group["payload"].tolist()) @ basis[tag]
+                yield pd.DataFrame({"tag": tag, "payload": group["payload"].to_numpy(),
+                                    "rest": np.round(1.0 - (z * z).sum(axis=1), 6)})
 
         rest = lines.select("tag", "payload").mapInPandas(
             uncovered, "tag string, payload string, rest double").where(F.col("rest") > 1e-3)
@@ -182,11 +191,10 @@ def _feature_rows(lines: DataFrame, models: dict[str, TextModel],
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, turn = shared.value
-        for batch in batches:
-            for tag, group in batch.groupby("tag"):
-                z = (known[tag].kernel(group["payload"].tolist()) @ turn[tag]).astype(np.float32)
-                yield pd.DataFrame({"tag": tag, "weight": group["weight"].to_numpy(),
-                                    "z": [row.tobytes() for row in z]})
+        for tag, group in _groups(batches):
+            z = (known[tag].kernel(group["payload"].tolist()) @ turn[tag]).astype(np.float32)
+            yield pd.DataFrame({"tag": tag, "weight": group["weight"].to_numpy(),
+                                "z": [row.tobytes() for row in z]})
 
     return lines.select("tag", "payload", "weight").mapInPandas(
         mapped, "tag string, weight long, z binary")
@@ -206,11 +214,10 @@ def _scores(z: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     shared = z.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for tag, group in batch.groupby("tag"):
-                value = _matrix(group["z"]) @ shared.value[tag].astype(np.float32)
-                yield pd.DataFrame({"tag": tag, "weight": group["weight"].to_numpy(),
-                                    "score": value.astype(float)})
+        for tag, group in _groups(batches):
+            value = _matrix(group["z"]) @ shared.value[tag].astype(np.float32)
+            yield pd.DataFrame({"tag": tag, "weight": group["weight"].to_numpy(),
+                                "score": value.astype(float)})
 
     return z.mapInPandas(score, "tag string, weight long, score double")
 
@@ -221,11 +228,10 @@ def _histogram(z: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.nda
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for tag, group in batch.groupby("tag"):
-                bins = _bin_of(_matrix(group["z"]) @ shared.value[tag].astype(np.float32))
-                held = np.bincount(bins, group["weight"].to_numpy(float), SCORE_BINS)
-                total[tag] = total.get(tag, 0.0) + held
+        for tag, group in _groups(batches):
+            bins = _bin_of(_matrix(group["z"]) @ shared.value[tag].astype(np.float32))
+            held = np.bincount(bins, group["weight"].to_numpy(float), SCORE_BINS)
+            total[tag] = total.get(tag, 0.0) + held
         for tag, held in total.items():
             used = np.flatnonzero(held)
             yield pd.DataFrame({"tag": tag, "bin": used, "n": held[used]})
@@ -250,20 +256,19 @@ def _sums(z: DataFrame, weights: dict[str, np.ndarray] | None,
         vectors, edges = shared.value
         total: dict[tuple[str, int], np.ndarray] = {}
         mass: dict[tuple[str, int], float] = {}
-        for batch in batches:
-            for tag, group in batch.groupby("tag"):
-                rows, share = _matrix(group["z"]), group["weight"].to_numpy(float)
-                if vectors is None:
-                    parts = [(0, np.ones(len(rows), bool))]
-                else:
-                    bins = _bin_of(rows @ vectors[tag].astype(np.float32))
-                    parts = [(0, bins < edges[tag]), (1, bins == edges[tag])]
-                for part, chosen in parts:
-                    if chosen.any():
-                        key = (tag, part)
-                        total[key] = total.get(key, 0.0) + share[chosen] @ rows[chosen].astype(
-                            float)
-                        mass[key] = mass.get(key, 0.0) + share[chosen].sum()
+        for tag, group in _groups(batches):
+            rows, share = _matrix(group["z"]), group["weight"].to_numpy(float)
+            if vectors is None:
+                parts = [(0, np.ones(len(rows), bool))]
+            else:
+                bins = _bin_of(rows @ vectors[tag].astype(np.float32))
+                parts = [(0, bins < edges[tag]), (1, bins == edges[tag])]
+            for part, chosen in parts:
+                if chosen.any():
+                    key = (tag, part)
+                    total[key] = total.get(key, 0.0) + share[chosen] @ rows[chosen].astype(
+                        float)
+                    mass[key] = mass.get(key, 0.0) + share[chosen].sum()
         if total:
             yield pd.DataFrame([(t, p, mass[t, p], v.tolist()) for (t, p), v in total.items()],
                                columns=["tag", "part", "n", "v"])

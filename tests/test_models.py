@@ -305,3 +305,25 @@ def test_a_payload_is_explained_once_whatever_the_batches(spark, tmp_path):
     assert sorted(r["id"] for r in rows) == list(range(600))
     want = {p: explain.word_weights(models["WEB_APP"], p, 50, 2) for p in payloads}
     assert all([tuple(w) for w in r["words"]] == want[r["payload"]] for r in rows)
+
+
+def test_memory_of_a_batch_does_not_grow_with_its_rows():
+    """Features exist for a few hundred rows at a time, in scoring and in training."""
+    import tracemalloc
+
+    kept = [f"GET /page{k}.html HTTP/1.1 200" for k in range(512)]
+    terms = sorted({g for line in kept for g in ngrams(line, "char", 3, 4)})
+    model = ocsvm.TextModel("WEB_APP", terms, np.ones(len(terms)), 0.5, kept, np.ones(512) / 512)
+    model.decision(["warm"])
+    lines = [f"GET /item{k}.html?q={k * 7919} HTTP/1.1 200" for k in range(6000)]
+    batch = pd.DataFrame({"tag": "WEB_APP", "payload": lines})
+    assert [len(g) for _, g in ocsvm._groups(iter([batch[:600]]))] == [512, 88]
+    tracemalloc.start()
+    try:
+        found = model.decision(lines)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 6000 * len(kept) * 8  # less than one matrix of all rows
+    few = [model.decision([t])[0] for t in lines[:3] + lines[-3:]]
+    assert np.allclose(found[[0, 1, 2, -3, -2, -1]], few, atol=1e-6)
